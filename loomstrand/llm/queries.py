@@ -1,10 +1,19 @@
 """The registered queries of the ten operators, and the SQL of those that SQL can express on whole tables."""
 
+from loomstrand.llm.decontaminate import OP8_SQL, op8_benchmark_decontamination
+from loomstrand.llm.language import op7_language_id
+from loomstrand.llm.pii import op2_pii_pseudonyms
 from loomstrand.llm.quality import OP1_SQL, op1_quality_rules
+from loomstrand.llm.secret_scan import op3_secret_scan
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_language_id": op7_language_id,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
+    "op8_benchmark_decontamination": OP8_SQL,
 }
