@@ -5,11 +5,13 @@ from loomstrand.llm.language import op7_language_id
 from loomstrand.llm.pii import op2_pii_pseudonyms
 from loomstrand.llm.quality import OP1_SQL, op1_quality_rules
 from loomstrand.llm.secret_scan import op3_secret_scan
+from loomstrand.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_secret_scan": op3_secret_scan,
+    "op4_toxicity": op4_toxicity,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from loomstrand.llm.common import field, hash_sample, id_type, map_rows, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run of 32 or more
 KINDS = ("assign", "access", "hex", "crf")
@@ -37,7 +38,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the patterns' whole matches, by start, then kind as listed."""
     if not text:
         return []
-    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    low = text.lower()
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if any(k in low for k in NAMES) else []
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
@@ -68,7 +70,7 @@ def shape(token: str) -> tuple[str, ...]:
     if n >= 16 and digits and re.fullmatch(r"[A-Za-z0-9+/_.=-]+", token):
         found.append("base64")
     if n >= 12:
-        found.append(f"spread {min(4, 8 * len(set(token)) // n)}")
+        found.append(f"spread {min(4, 8 * len(set(token)) // min(n, 64))}")
     if upper == n:
         found.append("capitals")
     if not digits and token.isalpha():
@@ -95,6 +97,7 @@ class Field:
 
     def __post_init__(self):
         self.signatures: dict[tuple[str, ...], int] = {}
+        self.words: dict[tuple, int] = {}  # signatures of all-letter tokens by what their shape depends on
         self.tables = np.zeros((len(NEAR), 1, 3))
         self.cache: dict[str, int] = _Cache(self)
         gain = self.pairs - self.pairs[O, O]
@@ -107,7 +110,15 @@ class Field:
         self.cuts = int(np.ceil(2 * max(0.0, reach) / self.lead)) + 1
 
     def signature(self, token: str) -> int:
-        found = shape(token)
+        if token.isalpha():
+            n = len(token)
+            key = (min(n, 64), token.isupper(), len(set(token)) if n >= 12 else 0, KEYWORD.search(token) is not None)
+            if (k := self.words.get(key)) is None:
+                k = self.words[key] = self.number(shape(token))
+            return k
+        return self.number(shape(token))
+
+    def number(self, found: tuple[str, ...]) -> int:
         if (k := self.signatures.get(found)) is None:
             k = self.signatures[found] = len(self.signatures) + 1
             ids = [self.features[f] for f in found if f in self.features]
@@ -214,7 +225,7 @@ def scan(texts: list[str | None], model: Field) -> list[tuple[list[tuple[str, in
     return out
 
 
-def _windows(text: str, radius: int = 24) -> list[tuple[list[str], list[int], int]]:
+def _windows(text: str, radius: int = 16) -> list[tuple[list[str], list[int], int]]:
     """(tokens, tags, file class) around every labelled value of a text, and of one stretch without any."""
     tokens = list(TOKEN.finditer(text))
     values, tags, k = sorted(value_spans(text)), [O] * len(tokens), 0
@@ -228,10 +239,10 @@ def _windows(text: str, radius: int = 24) -> list[tuple[list[str], list[int], in
             j += 1
     kind = file_class(text, len(tokens))
     centres = [i for i, t in enumerate(tags) if t == B] or [len(tokens) // 2]
-    return [([m[0] for m in tokens[max(0, i - radius) : i + radius]], tags[max(0, i - radius) : i + radius], kind) for i in centres[:8] if tokens]
+    return [([m[0] for m in tokens[max(0, i - radius) : i + radius]], tags[max(0, i - radius) : i + radius], kind) for i in centres[:3] if tokens]
 
 
-def train(texts: list[str], rounds: int = 150, ridge: float = 0.02) -> Field:
+def train(texts: list[str], rounds: int = 80, ridge: float = 0.02) -> Field:
     """Weights of largest penalised likelihood on the windows of the texts (Lafferty et al. 2001), by Adam."""
     rows = [w for t in texts for w in _windows(t)]
     names = sorted({f for tokens, _, _ in rows for x in set(tokens) for f in shape(x)})
@@ -279,8 +290,7 @@ def train(texts: list[str], rounds: int = 150, ridge: float = 0.02) -> Field:
         left = truth - share
         slope = [np.zeros_like(w) for w in weights]
         for k in range(len(NEAR)):
-            per_shape = np.zeros((len(design), 3))
-            np.add.at(per_shape, near_of[k].ravel(), left.reshape(-1, 3))
+            per_shape = np.stack([np.bincount(near_of[k].ravel(), left[:, :, tag].ravel(), len(design)) for tag in range(3)], axis=1)
             slope[0][k] = design.T @ per_shape
         np.add.at(slope[1], kind, left.sum(axis=1))
         for t in range(1, longest):
