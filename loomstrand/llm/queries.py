@@ -2,9 +2,11 @@
 
 from loomstrand.llm.decontaminate import OP8_SQL, op8_benchmark_decontamination
 from loomstrand.llm.language import op7_language_id
+from loomstrand.llm.packing import op10_best_fit_packing
 from loomstrand.llm.pii import op2_pii_pseudonyms
 from loomstrand.llm.quality import OP1_SQL, op1_quality_rules
 from loomstrand.llm.secret_scan import op3_secret_scan
+from loomstrand.llm.token_records import op9_token_records
 from loomstrand.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -14,6 +16,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_token_records": op9_token_records,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
