@@ -129,31 +129,38 @@ def _is_word_byte() -> np.ndarray:
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, in order; equal words have equal hashes anywhere.
-
-    A polynomial of random byte codes modulo 2**64 from one running sum, then mixed with the word's length.
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, in order; equal words have equal 64-bit
+    hashes anywhere. A polynomial of random byte codes modulo 2**64 from one running sum, then mixed with the length.
     """
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
-    word = _is_word_byte()[raw]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    if word[0]:
-        edge = np.concatenate(([0], edge))
-    if word[-1]:
-        edge = np.concatenate((edge, [len(raw)]))
+    word = np.concatenate(([False], _is_word_byte()[raw], [False]))
+    edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.uint64)
-    size = 1 << max(16, int(len(raw)).bit_length())
-    up, down = _powers(size, BASE)
+        return np.empty(0, np.uint64), start
+    up, down = _powers(1 << max(16, len(raw).bit_length()), BASE)
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_byte_codes()[raw] * up[: len(raw)], out=total[1:])
         found = (total[end] - total[start]) * down[start]
         found += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(found)
+    return mix(found), start
+
+
+def batch_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all texts' words, bounds): the words of text k are hashes[bounds[k]:bounds[k + 1]]."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b" ".join(data)
+    hashes, start = word_hashes(joined.translate(LOWER) if lower else joined)
+    at = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data])))
+    return hashes, np.searchsorted(start, at)
+
+
+def flags_to_spans(flags: np.ndarray) -> list[tuple[int, int]]:
+    """The [start, end) runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+    return list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 def window_hashes(words: np.ndarray, n: int, base: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:

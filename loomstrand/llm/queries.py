@@ -6,6 +6,7 @@ from loomstrand.llm.packing import op10_best_fit_packing
 from loomstrand.llm.pii import op2_pii_pseudonyms
 from loomstrand.llm.quality import OP1_SQL, op1_quality_rules
 from loomstrand.llm.secret_scan import op3_secret_scan
+from loomstrand.llm.substrings import OP5_SQL, op5_substring_dedup
 from loomstrand.llm.token_records import op9_token_records
 from loomstrand.llm.toxicity import op4_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_token_records": op9_token_records,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
 }
