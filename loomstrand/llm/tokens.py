@@ -21,6 +21,9 @@ def tokenizer_path(name: str) -> str:
 UNSAFE = re.compile(r"\s\s|<\|")
 
 
+MARK = "<|endoftext|>"
+
+
 class Encoder:
     """Encodes texts, each different word once for as long as the cache holds it.
 
@@ -35,24 +38,40 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.cache: dict[str, bytes] = {}
+        self.mark = self.tokenizer.token_to_id(MARK)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each ' word'. Many words go through the library as one text, told apart by a special token, which
+        cuts a text before anything else is done to it (no word here holds one)."""
+        if self.mark is None:
+            return self._encode([f" {w}" for w in words])
+        parts = [words[k : k + 256] for k in range(0, len(words), 256)]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([MARK.join([f" {w}" for w in part]) for part in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(x + 4 for x in at)], [*at, len(data)], strict=True)] if len(at) == len(part) - 1 else self._encode([f" {w}" for w in part])
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [k for k, t in enumerate(texts) if t and UNSAFE.search(t)]
+        unsafe = [bool(t) and UNSAFE.search(t) is not None for t in texts]
+        whole = [k for k, bad in enumerate(unsafe) if bad]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        parts = {k: t.split(" ") for k, t in enumerate(texts) if t and not out[k] and not UNSAFE.search(t)}
+        parts = {k: t.split(" ") for k, (t, bad) in enumerate(zip(texts, unsafe, strict=True)) if t and not bad}
         firsts = self._encode([p[0] for p in parts.values()])
         words = set(chain.from_iterable(p[1:] for p in parts.values()))
         new = list(words.difference(self.cache))
         if len(self.cache) >= self.most and 2 * len(new) > len(words):
             self.cache.clear()
             new = list(words)
-        found = dict(zip(new, self._encode([f" {w}" for w in new]), strict=True))
+        found = dict(zip(new, self._encode_words(new), strict=True))
         if len(self.cache) < self.most:
             self.cache.update(found)
             get = self.cache.__getitem__
