@@ -1,0 +1 @@
+"""Empty on purpose: the model of this engine is a batch of reads; nothing in it is a stream."""
