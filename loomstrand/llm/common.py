@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +40,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later steps neither repeat its work nor need its executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files once the driver has forgotten what made them
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ on a bounded sample so that groups fit in memory. Within its group the sorted su
 its internal nodes at full depth are the windows that occur more than once, and the adjoining ones in a document make its
 maximal repeats. A node's smallest document keeps its occurrence, the others lose theirs.
 
-Two exact devices keep the shuffles small. A suffix only enters a tree if its anchor (the least hash of a run of words
+Three exact devices keep the shuffles small. Whole copies of a text with a smaller id lose all, and enter no tree. A suffix only enters a tree if its anchor (the least hash of a run of words
 in its window) also occurs in another document; equal windows have equal anchors. And each task first settles what it
 can among its own documents, so that a passage in a third of all documents sends a few suffixes from each task.
 """
@@ -43,15 +43,16 @@ def anchors_of(words: np.ndarray, window: int, run: int) -> np.ndarray:
 
 
 def suffix_keys(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit numbers for each window: its first three words' leading bits, in whose order suffixes stand, and a hash
-    of all its words. Both together tell windows apart."""
+    """A 64-bit and a 32-bit number for each window, which together tell windows apart: the first has leading bits of the
+    first and second word, in whose order suffixes stand, and all else is a hash of the whole window."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    first = (words[:n] >> np.uint64(40)) << np.uint64(40)
-    first |= (words[1 : n + 1] >> np.uint64(44)) << np.uint64(20)
-    first |= words[2 : n + 2] >> np.uint64(44)
-    return first, window_hashes(words, window)
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    whole, more = window_hashes(words, window), window_hashes(words, window, 0x9FB21C651E98DF25)
+    first = (words[:n] >> np.uint64(44)) << np.uint64(44)
+    first |= (words[1 : n + 1] >> np.uint64(48)) << np.uint64(28)
+    first |= whole >> np.uint64(36)
+    return first, (more >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def prefix_boundaries(sample: np.ndarray, groups: int) -> np.ndarray:
@@ -104,7 +105,7 @@ def _by_owner(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array
 
 ANCHORS = T.StructType([field("k", T.LongType()), field("id", T.LongType()), field("known", T.BinaryType())])
 SHARED = T.StructType([field("id", T.LongType()), field("anchors", T.BinaryType())])
-LEAVES = T.StructType([field("g", T.IntegerType()), field("w1", T.LongType()), field("w2", T.LongType()), field("id", T.LongType()), field("pos", T.LongType()), field("settled", T.BinaryType())])
+LEAVES = T.StructType([field("g", T.IntegerType()), field("w1", T.LongType()), field("w2", T.IntegerType()), field("id", T.LongType()), field("pos", T.LongType()), field("settled", T.BinaryType())])
 FOUND = T.StructType([field("id", T.LongType()), field("pos", T.BinaryType())])
 
 
@@ -184,14 +185,14 @@ def _list_leaves(window: int, run: int, boundaries: np.ndarray):
             owner = key[doc][np.flatnonzero(new)][np.cumsum(new) - 1]
             lost = key[doc] > owner
             pos = (np.array(texts, np.int64)[doc] << 32) | (at - bounds[doc])
-            stay = ~lost
+            stay = np.flatnonzero(~lost)
+            stay = stay[np.argsort(at[stay])]  # in the order of the texts, in which ids and places compress well
             group = np.searchsorted(boundaries, w1[stay], "right").astype(np.int32)
-            n = int(stay.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array((w1[stay] ^ np.uint64(1 << 63)).view(np.int64)), pa.array(w2[stay].view(np.int64)), pa.array(key[doc[stay]]), pa.array(pos[stay]), pa.nulls(n, pa.binary())], names=LEAVES.names)
+            n = len(stay)
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array((w1[stay] ^ np.uint64(1 << 63)).view(np.int64)), pa.array(w2[stay]), pa.array(key[doc[stay]]), pa.array(pos[stay]), pa.nulls(n, pa.binary())], names=LEAVES.names)
             if lost.any():
                 owners, lists = _by_owner(key[doc[lost]], pos[lost])
-                none = pa.nulls(len(owners), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array((-1 - owners % 1_000_003).astype(np.int32)), none, none, pa.array(owners), pa.nulls(len(owners), pa.int64()), lists], names=LEAVES.names)
+                yield pa.RecordBatch.from_arrays([pa.array((-1 - owners % 1_000_003).astype(np.int32)), pa.nulls(len(owners), pa.int64()), pa.nulls(len(owners), pa.int32()), pa.array(owners), pa.nulls(len(owners), pa.int64()), lists], names=LEAVES.names)
 
     return each
 
@@ -228,22 +229,27 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its words and takes none from others, rows of one id never take from each other, and null and empty texts have no
     words. An empty table gives no rows. Texts are read whole; the sample only places the groups' boundaries.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = [r[0] for r in hash_sample(rows.where("text is not null").withColumn("text", F.substring("text", 1, 50_000)), ["text"], sample_docs, "id")]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))  # a new name: else Spark strips the alias in one of two plans, and they share no exchange
+    texts = [r[0] for r in hash_sample(rows.where("body is not null").withColumn("body", F.substring("body", 1, 50_000)), ["body"], sample_docs, "id")]
     total = rows.where("id is not null").count()
     words, bounds = batch_words(texts)
     at, _ = _starts(bounds, window)
     per_doc = len(at) / max(1, len(texts))
     boundaries = prefix_boundaries(suffix_keys(words, window)[0][at], int(min(1 << 16, max(64, total * per_doc / GROUP_SUFFIXES))))
 
-    named = rows.where("id is not null")
-    anchors = named.mapInArrow(_list_anchors(window, run), ANCHORS).repartition("k").sortWithinPartitions("k", "id").mapInArrow(_share_anchors, SHARED)
+    named = rows.where("id is not null").withColumn("h", F.hash("body"))
+    digests = named.where("body is not null").select("id", "h", F.unhex(F.md5("body")).alias("k"))
+    firsts = digests.groupBy("k").agg(F.min("id").alias("least"))
+    copies = digests.join(firsts, "k").where("id > least").groupBy("id").agg(F.collect_set("h").alias("copies"))
+    dealt = named.repartition("id").join(copies, "id", "left").select("id", "body", "h", F.coalesce(F.array_contains("copies", F.col("h")), F.lit(False)).alias("copy"))
+    single = dealt.where("not copy")
+    anchors = single.select("id", "body").mapInArrow(_list_anchors(window, run), ANCHORS).repartition("k").sortWithinPartitions("k", "id").mapInArrow(_share_anchors, SHARED)
     shared = anchors.groupBy("id").agg(F.collect_list("anchors").alias("anchors"))
-    dealt = named.withColumn("h", F.hash("text")).repartition("id")
-    leaves = dealt.join(shared, "id").select("id", "text", "anchors", "h").mapInArrow(_list_leaves(window, run, boundaries), LEAVES)
+    leaves = single.join(shared, "id").select("id", "body", "anchors", "h").mapInArrow(_list_leaves(window, run, boundaries), LEAVES)
     found = leaves.repartition("g").sortWithinPartitions("w1", "w2", "id", "pos").mapInArrow(_deep_nodes, FOUND)
     per_id = found.groupBy("id").agg(F.collect_list("pos").alias("pos"))
-    judged = dealt.join(per_id, "id", "left").select("id", "text", "h", "pos").unionByName(rows.where("id is null").select("id", "text", F.hash("text").alias("h"), F.array().cast("array<binary>").alias("pos")))
+    unnamed = rows.where("id is null").select("id", "body", F.hash("body").alias("h"), F.lit(False).alias("copy"), F.array().cast("array<binary>").alias("pos"))
+    judged = dealt.join(per_id, "id", "left").select("id", "body", "h", "copy", "pos").unionByName(unnamed)
     spans = T.ArrayType(T.StructType([field("start", T.LongType()), field("end", T.LongType())]))
     schema = T.StructType([field("id", T.LongType()), field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_sha256", T.StringType()), field("kept_text", T.StringType()), field("repeats", spans)])
 
@@ -254,13 +260,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 out: list[list] = [[] for _ in schema.names]
-                for key, text, h, lists in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                for key, text, h, copy, lists in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     split = (text or "").encode("utf-8", "surrogatepass").split()
                     places = np.frombuffer(b"".join(lists or []), "<i8")
                     places = places[places >> 32 == h] & 0xFFFFFFFF  # rows of one id may differ in text
                     gone: list[tuple[int, int]] = []
                     kept = split
-                    if len(places):
+                    if copy and len(split) >= window:
+                        gone, kept = [(0, len(split))], []
+                    elif len(places):
                         begun = np.cumsum(np.bincount(places, minlength=len(split)))
                         flags = begun - np.concatenate((np.zeros(window, np.int64), begun[:-window])) > 0
                         gone = flags_to_spans(flags)
