@@ -6,21 +6,20 @@ run() writes what each stage returns as Parquet to the shared folder and reads i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomstrand.llm.common import crc_mod, cut, table
 from loomstrand.llm.decontaminate import decontaminate
 from loomstrand.llm.ngram_join import one_of_each
 from loomstrand.llm.packing import pack_documents
-from loomstrand.llm.pii import pseudonymise
+from loomstrand.llm.pii import masked
 from loomstrand.llm.tokens import tokenizer_path
-from loomstrand.llm.toxicity import learn_grammar, score_toxicity
+from loomstrand.llm.toxicity import learn_grammar, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores under 0.5; it learns from the labelled rows of the training folds."""
     grammar = learn_grammar(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
-    return score_toxicity(docs, grammar, keep=tuple(docs.columns)).where(F.col("predicted") == 0).select(*docs.columns)
+    return without_toxic(docs, grammar)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced; n_chars follows the text where that changed."""
-    found = pseudonymise(docs, keep=tuple(docs.columns))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.size("pii") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        found = found.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return masked(docs, length_col="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

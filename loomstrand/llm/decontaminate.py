@@ -92,27 +92,33 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
         yield [(r[0], r[1]) for r in part.distinct().collect()]
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_chars: int = 32_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, text, the columns in keep, n_words, hits (array of [start, end) word spans, merged:
-    the longest verbatim matches) and items (array of distinct item ids as text with an occurring window, sorted).
+SPANS = T.ArrayType(T.StructType([field("start", T.LongType()), field("end", T.LongType())]))
 
-    A window is `window` consecutive words of an item, or the whole of a shorter one. Null texts and texts without a
-    word have no windows and no hits; a null item id counts as the item ''. Items given twice count once, repeated
-    documents each get their row, empty tables give no rows or no hits. Texts are searched whole.
-    """
-    kept = [c for c in dict.fromkeys(keep) if c not in (id_col, text_col)]
-    spans = T.ArrayType(T.StructType([field("start", T.LongType()), field("end", T.LongType())]))
-    schema = T.StructType([
-        field("_id", id_type(docs, id_col)), field("_text", docs.schema[text_col].dataType), field("_keep", T.StructType([docs.schema[c] for c in kept] or [field("none", T.BooleanType())])),
-        field("n_words", T.LongType()), field("hits", spans), field("items", T.ArrayType(T.StringType())),
-    ])
+
+def _matched(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_chars: int = 32_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_id, _text, _keep (a struct, so that no name can clash), n_words, hits, items."""
+    rest = [docs.schema[c] for c in keep] or [field("none", T.BooleanType())]
+    schema = T.StructType([field("_id", id_type(docs, id_col)), field("_text", docs.schema[text_col].dataType), field("_keep", T.StructType(rest)), field("n_words", T.LongType()), field("hits", SPANS), field("items", T.ArrayType(T.StringType()))])
     out = docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in kept) if kept else [F.lit(None).cast("boolean").alias("none")]).alias("_keep"),
-        F.lit(0).cast("long").alias("n_words"), F.array().cast(spans).alias("hits"), F.array().cast("array<string>").alias("items"),
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in keep) if keep else [F.lit(None).cast("boolean").alias("none")]).alias("_keep"),
+        F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("hits"), F.array().cast("array<string>").alias("items"),
     )
     for rows in _blocks(benchmark, item_col, item_text_col, block_chars):
         out = out.mapInArrow(_searcher(rows, window, schema), schema)
-    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *(F.col(f"_keep.{c}").alias(c) for c in kept), "n_words", "hits", "items")
+    return out
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: id, text, n_words, hits (array of [start, end) word spans, merged: the longest verbatim
+    matches) and items (array of distinct item ids as text with an occurring window, sorted).
+
+    A window is `window` consecutive words of an item, or the whole of a shorter one. Null texts and texts without a
+    word have no windows and no hits; a null item id counts as the item ''. Items given twice count once, repeated
+    documents each get their row, empty tables give no rows or no hits; other columns are ignored. Texts are searched
+    whole.
+    """
+    found = _matched(docs, benchmark, id_col, text_col, **options)
+    return found.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "n_words", "hits", "items")
 
 
 def _searcher(rows: list[tuple[str, str | None]], window: int, schema: T.StructType):
@@ -161,10 +167,12 @@ def n_hit() -> Column:
     return F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with their columns, that hold no benchmark window."""
-    found = find_matches(docs, benchmark, keep=tuple(docs.columns), **options)
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark window."""
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    clean = _matched(docs, benchmark, id_col, text_col, keep=rest, **options).where(F.size("hits") == 0)
+    source = {id_col: F.col("_id"), text_col: F.col("_text")}
+    return clean.select(*(source.get(c, F.col(f"_keep.{c}")).alias(c) for c in docs.columns))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from loomstrand.llm.common import crc_mod, field, hash_sample, id_type, map_rows, table
 
-#: A bit that marks a step at which the phrase could not go on.
-ENDS = np.int32(1 << 30)
+#: The bits above hold the number of phrases that a step completes.
+ENDS = np.int32(1 << 29)
 SPACE, OTHER, PAD = 0, 1, 2
 
 
@@ -79,12 +79,13 @@ class Languages:
         for _, text in samples:
             sample = self.encode(text)
             go = suffix_automaton(sample.tolist())
-            root = np.array([go[0].get(c, 0) * self.width for c in range(self.width)], np.int32) | ENDS
+            # where a phrase cannot go on, it ends and the letter begins the next; a letter the sample lacks is one itself
+            root = np.array([go[0][c] * self.width + ENDS if c in go[0] else 2 * ENDS for c in range(self.width)], np.int32)
             step = np.tile(root, (len(go), 1))
+            step[0, step[0] == 2 * ENDS] = ENDS
             for state, edges in enumerate(go):
                 for c, to in edges.items():
                     step[state, c] = to * self.width
-            step[:, PAD] = 0
             self.tables.append(step.ravel())
             self.bits.append(np.log2(max(2, len(sample))))
 
@@ -111,12 +112,12 @@ class Languages:
         active = [int(np.count_nonzero(sizes > t)) for t in range(int(sizes[0]))]
         for lang, step in enumerate(self.tables):
             state = np.zeros(len(parts), np.int32)
-            count = np.ones(len(parts), np.int64)
+            count = np.zeros(len(parts), np.int64)
             for t, n in enumerate(active):
                 made = step.take(state[:n] + grid[t, :n])
-                count[:n] += made >> 30
+                count[:n] += made >> 29
                 state[:n] = made & (ENDS - 1)
-            out[:, lang] = np.bincount(owner_of, count, len(texts))
+            out[:, lang] = np.bincount(owner_of, count + (state > 0), len(texts))
         return out
 
 

@@ -223,24 +223,42 @@ def pseudonymise_text(text: str | None, key: bytes, back: bool = False) -> tuple
     return "".join([*out, text[upto:]]), [{"kind": k, "start": s, "end": e, "pseudonym": p} for k, s, e, p in found]
 
 
-def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEMO_KEY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, text with every value replaced, the columns in keep, and pii (array of kind, start,
-    end, pseudonym; places in the old text, in code points).
+SPANS = T.ArrayType(T.StructType([field("kind", T.StringType()), field("start", T.LongType()), field("end", T.LongType()), field("pseudonym", T.StringType())]))
 
-    Null and empty texts stay as they are and hold nothing. Repeated rows give repeated results, an empty table none.
-    Columns in keep may have any name; they pass unread. Texts are searched whole, a few hundred rows at a time.
-    """
-    kept = [c for c in dict.fromkeys(keep) if c not in (id_col, text_col)]
-    spans = T.ArrayType(T.StructType([field("kind", T.StringType()), field("start", T.LongType()), field("end", T.LongType()), field("pseudonym", T.StringType())]))
-    schema = T.StructType([field("_id", id_type(df, id_col)), field("_text", T.StringType()), field("_keep", T.StructType([df.schema[c] for c in kept] or [field("none", T.BooleanType())])), field("pii", spans)])
 
-    def each(ids: list, texts: list, rest: list) -> list[list]:
+def _replaced(df: DataFrame, id_col: str, text_col: str, key: bytes, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_id, _text, _keep (a struct, so that no name can clash), pii."""
+    rest = [df.schema[c] for c in keep] or [field("none", T.BooleanType())]
+    schema = T.StructType([field("_id", id_type(df, id_col)), field("_text", T.StringType()), field("_keep", T.StructType(rest)), field("pii", SPANS)])
+
+    def each(ids: list, texts: list, others: list) -> list[list]:
         made = [pseudonymise_text(t, key) for t in texts]
-        return [ids, [t for t, _ in made], rest, [p for _, p in made]]
+        return [ids, [t for t, _ in made], others, [p for _, p in made]]
+
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in keep) if keep else [F.lit(None).cast("boolean").alias("none")]).alias("_keep"))
+    return map_rows(rows, ["_id", "_text", "_keep"], schema, each)
 
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in kept) if kept else [F.lit(None).cast("boolean").alias("none")]).alias("_keep"))
-    out = map_rows(rows, ["_id", "_text", "_keep"], schema, each)
-    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *(F.col(f"_keep.{c}").alias(c) for c in kept), "pii")
+
+def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEMO_KEY) -> DataFrame:
+    """One row per input row: id, text with every value replaced, and pii (array of kind, start, end, pseudonym; places
+    in the old text, in code points).
+
+    Null and empty texts stay as they are and hold nothing. Repeated rows give repeated results, an empty table none;
+    other columns are ignored. Texts are searched whole, a few hundred rows at a time.
+    """
+    return _replaced(df, id_col, text_col, key).select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "pii")
+
+
+def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEMO_KEY, length_col: str | None = None) -> DataFrame:
+    """The rows of df, with all their columns, and every value in their texts replaced; length_col, if given and there,
+    follows the text where that changed."""
+    rest = tuple(c for c in df.columns if c not in (id_col, text_col))
+    found = _replaced(df, id_col, text_col, key, rest)
+    source = {id_col: F.col("_id"), text_col: F.col("_text")}
+    if length_col in rest:
+        old = F.col(f"_keep.{length_col}")
+        source[length_col] = F.when(F.size("pii") > 0, F.length("_text").cast(df.schema[length_col].dataType)).otherwise(old)
+    return found.select(*(source.get(c, F.col(f"_keep.{c}")).alias(c) for c in df.columns))
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,30 +239,42 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return fit(sorted((r["t"], r["y"]) for r in rows.limit(8 * rows_per_class).collect()))
 
 
-def score_toxicity(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, text, the columns in keep, score (0 to 1), predicted (1 if score >= 0.5) and clauses
-    (the number of clauses that match).
-
-    Null and empty texts match nothing and get the score of that. Repeated rows give repeated results; an empty table
-    gives none. Texts are read whole.
-    """
-    kept = [c for c in dict.fromkeys(keep) if c not in (id_col, text_col)]
+def _scored(df: DataFrame, grammar: Grammar, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_id, _text, _keep (a struct, so that no name can clash), score, predicted, clauses."""
     words, starts, weights = grammar.words, grammar.starts, grammar.weights
+    rest = [df.schema[c] for c in keep] or [field("none", T.BooleanType())]
     schema = T.StructType([
-        field("_id", id_type(df, id_col)), field("_text", T.StringType()), field("_keep", T.StructType([df.schema[c] for c in kept] or [field("none", T.BooleanType())])),
+        field("_id", id_type(df, id_col)), field("_text", T.StringType()), field("_keep", T.StructType(rest)),
         field("score", T.DoubleType()), field("predicted", T.IntegerType()), field("clauses", T.LongType()),
     ])
     state: dict[str, Grammar] = {}
 
-    def each(ids: list, texts: list, rest: list) -> list[list]:
+    def each(ids: list, texts: list, others: list) -> list[list]:
         if "grammar" not in state:
             state["grammar"] = Grammar(words, starts, weights)
         made = [judge(t, state["grammar"]) for t in texts]
-        return [ids, texts, rest, [s for s, _ in made], [int(s >= 0.5) for s, _ in made], [c for _, c in made]]
+        return [ids, texts, others, [s for s, _ in made], [int(s >= 0.5) for s, _ in made], [c for _, c in made]]
+
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in keep) if keep else [F.lit(None).cast("boolean").alias("none")]).alias("_keep"))
+    return map_rows(rows, ["_id", "_text", "_keep"], schema, each)
+
+
+def score_toxicity(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, text, score (0 to 1), predicted (1 if score >= 0.5) and clauses (the number of clauses
+    that match).
+
+    Null and empty texts match nothing and get the score of that. Repeated rows give repeated results; an empty table
+    gives none; other columns are ignored. Texts are read whole.
+    """
+    return _scored(df, grammar, id_col, text_col).select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "score", "predicted", "clauses")
+
 
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in kept) if kept else [F.lit(None).cast("boolean").alias("none")]).alias("_keep"))
-    out = map_rows(rows, ["_id", "_text", "_keep"], schema, each)
-    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *(F.col(f"_keep.{c}").alias(c) for c in kept), "score", "predicted", "clauses")
+def without_toxic(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, that score under 0.5."""
+    rest = tuple(c for c in df.columns if c not in (id_col, text_col))
+    mild = _scored(df, grammar, id_col, text_col, rest).where("predicted = 0")
+    source = {id_col: F.col("_id"), text_col: F.col("_text")}
+    return mild.select(*(source.get(c, F.col(f"_keep.{c}")).alias(c) for c in df.columns))
 
 
 def held_out():
