@@ -6,7 +6,7 @@ that union reaches the least overlap that a link to any member needs, and only t
 taken for each member; what remains is verified on the whole sets. No linked pair can fail a bound, so the join is exact.
 
 The matrix holds tokens of prefixes only: with sets ordered by hash, sets of similarity 0.8 or more share at least
-k = 1 + n // 16 of the n - ceil(0.8 n) + k least tokens of each (n: the smaller set). Tokens of one class alone are
+k = 1 + n // 8 of the n - ceil(0.8 n) + k least tokens of each (n: the smaller set). Tokens of one class alone are
 dropped. Classes are first linked to the leader of their group, so that large clusters of near copies become one
 component at linear cost; after that only pairs across components matter, asked from the smaller component. A token that
 very many classes share is left out, its number subtracted from the bound, where the other tokens still must meet.
@@ -27,6 +27,7 @@ from loomstrand.llm.common import batch_words, cut, field, mix, table, window_ha
 
 HEAVY = 256  # classes that share a token from which on it is left out where that is exact
 BLOCK = 64  # members of a group at most, about
+BROADCAST_ROWS = 200_000  # ids (16 bytes each) up to which texts are picked by a broadcast; beyond, by a shuffle
 
 
 def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
@@ -50,7 +51,7 @@ def class_key(shingles: np.ndarray) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return min(n, n - -(-4 * n // 5) + 1 + n // 16)
+    return min(n, n - -(-4 * n // 5) + 1 + n // 8)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -137,6 +138,16 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(_verified, PAIRS)
 
 
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs that link, written to the shared folder. Sets are made again for the classes in question alone."""
+    pairs = cut(pairs.select("a", "b"), f"{name}-pairs")
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = cut(docs.where("id is not null and n > 0").join(classes, "c").groupBy("c").agg(F.min("id").alias("id")), f"{name}-classes")
+    pick = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = cut(rows.where("id is not null").join(pick, "id").select("c", "text").mapInArrow(_sets_of_class, SETS), f"{name}-sets")
+    return cut(verify(pairs, sets), f"{name}-links")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(c, comp): the least vertex that each vertex of the edges (a, b) reaches. Labels spread along edges and then jump
     to their label's label, so that rounds are few; each round is written to the shared folder."""
@@ -153,7 +164,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def least_overlap(n: Column) -> Column:
-    return F.lit(1) + F.floor(n / 16)
+    return F.lit(1) + F.floor(n / 8)
 
 
 def cross_pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
@@ -162,8 +173,9 @@ def cross_pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
     best = shared.groupBy("c", "n", "leader").count().groupBy("c", "n").agg(F.max_by("leader", F.struct("count", "leader")).alias("group"))
     member = best.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(sizes, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     member = member.withColumn("group", F.when(F.col("size") > 1, F.col("comp")).otherwise(F.col("group")))
-    crowd = member.groupBy("group").agg(F.count("*").alias("crowd"))
-    member = cut(member.join(crowd, "group").withColumn("block", F.xxhash64("group", F.pmod(F.xxhash64("c"), F.ceil(F.col("crowd") / BLOCK)))).withColumn("rank", F.struct("size", "comp")).drop("crowd"), "members")
+    member = member.withColumn("scale", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))))  # members of like sizes make sharp bounds
+    crowd = member.groupBy("group", "scale").agg(F.count("*").alias("crowd"))
+    member = cut(member.join(crowd, ["group", "scale"]).withColumn("block", F.xxhash64("group", "scale", F.pmod(F.xxhash64("c"), F.ceil(F.col("crowd") / BLOCK)))).withColumn("rank", F.struct("size", "comp")).drop("crowd", "scale"), "members")
 
     rows = shared.select("token", "c").join(member.select("c", "rank"), "c")
     token = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("rank").alias("low"), F.max("rank").alias("high")).where(F.col("low") != F.col("high"))
@@ -205,15 +217,11 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = cut(rows.mapInArrow(_classes, DOCS), "classes")
     reps = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
     shared = cut(rows.select("text").mapInArrow(_prefixes, TOKENS).repartition("token").sortWithinPartitions("token", "c").mapInArrow(_share, SHARED), "shared-tokens")
-    wanted = shared.select("c").distinct().join(docs.where("id is not null").groupBy("c").agg(F.min("id").alias("id")), "c")
-    texts = rows.where("id is not null").join(wanted, "id")
-    sets = cut(texts.select("c", "text").mapInArrow(_sets_of_class, SETS), "sets")
-
     star = shared.where("c != leader").groupBy("c", "n", "leader").count()
     star = star.groupBy("c", "n").agg(F.max_by("leader", F.struct("count", "leader")).alias("b"), F.max("count").alias("most")).where(2 * F.col("most") >= least_overlap(F.col("n")))
-    first = cut(verify(star.select(F.col("c").alias("a"), "b"), sets), "star-links")
+    first = verified(star.select(F.col("c").alias("a"), "b"), rows, docs, "star")
     comps = components(first, "star-components")
-    second = cut(verify(cross_pairs(shared, comps), sets), "cross-links")
+    second = verified(cross_pairs(shared, comps), rows, docs, "cross")
     if not second.isEmpty():
         comps = components(first.unionByName(second), "components")
     named = reps.join(comps, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "least")

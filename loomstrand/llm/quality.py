@@ -13,10 +13,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstrand.llm.common import SPACES, field, id_type, map_rows, table
+from loomstrand.llm.common import SPACES, field, hash_sample, id_type, map_rows, table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -105,12 +104,10 @@ def plan_cascade(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> l
 def quality_cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 400) -> DataFrame:
     """One row per input row: id, base counts, base_failed, kept, rejected_by (null if kept; 'base' for the base rule).
 
-    The sample is the sample_rows rows of the smallest hash, a bound that does not grow with the input; it only orders
-    the rules. Null and empty texts have no word, so they fail the base rule. Repeated rows give repeated results; an
+    The sample is about sample_rows rows chosen by a hash, never over four times as many; it only orders the rules. Null and empty texts have no word, so they fail the base rule. Repeated rows give repeated results; an
     empty table gives none; other columns are ignored. Texts are measured whole, a few hundred rows at a time.
     """
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    sample = [r[0] for r in df.orderBy(key, F.col(text_col)).select(text_col).limit(sample_rows).collect()]
+    sample = sorted(r[0] or "" for r in hash_sample(df, [text_col], sample_rows, id_col))
     order = [p["rule"] for p in plan_cascade(sample, rules)]
     schema = T.StructType([
         field(id_col, id_type(df, id_col)), *(field(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),

@@ -235,7 +235,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words, bounds = batch_words(texts)
     at, _ = _starts(bounds, window)
     per_doc = len(at) / max(1, len(texts))
-    boundaries = prefix_boundaries(suffix_keys(words, window)[0][at], int(min(1 << 16, max(64, total * per_doc / GROUP_SUFFIXES))))
+    boundaries = prefix_boundaries(suffix_keys(words, window)[0][at], int(min(1 << 16, max(4096, total * per_doc / GROUP_SUFFIXES))))
 
     named = rows.where("id is not null").withColumn("h", F.hash("body"))
     digests = named.where("body is not null").select("id", "h", F.unhex(F.md5("body")).alias("k"))
