@@ -60,6 +60,27 @@ def test_pseudonyms_keep_their_format_and_come_back():
     assert pii.pseudonymise_text("Version 1.2.3, in 2021 about 300 of 12-15.", b"key")[1] == []
 
 
+@pytest.mark.parametrize("before,after", [("", " 12/27"), ("", " 12"), ("", " 123 2027"), ("2024 ", ""), ("No. 7 ", " 12-27"), ("1234567890123 ", ""), ("5500 0000 0000 0004 ", " 4111-1111-1111-1111"), ("+1 415 555 0132 ", " 99")])
+def test_card_beside_other_digits(before, after):
+    alone = pii.pseudonymise_text("4111 1111 1111 1111", b"key")[0]
+    text = f"x {before}4111 1111 1111 1111{after} y"
+    new, found = pii.pseudonymise_text(text, b"key")
+    at = 2 + len(before)
+    assert ("card", at, at + 19, alone) in [(f["kind"], f["start"], f["end"], f["pseudonym"]) for f in found]
+    assert alone in new and "4111 1111" not in new and "4111-1111" not in new
+    assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:]))
+    if before.startswith(("1234", "+")):
+        assert [f["kind"] for f in found] == ["account" if before[0] == "1" else "phone", "card"]
+
+
+def test_accounts_hold_no_card_and_come_back():
+    assert pii.pseudonymise_text("a 4111111111111111 12 b", b"key")[1][0]["end"] == 18
+    for text in ("4111 1111 1111 1112", "1234 5678 9012 3456 70", "1 2 3 4 5 6 7 8 9 0 1 2 3 5", "41111111111111112"):
+        assert not pii.cards(text, 0)
+        new, found = pii.pseudonymise_text(text, b"key")
+        assert [f["kind"] for f in found] == ["account"] and not pii.cards(new, 0) and pii.pseudonymise_text(new, b"key", back=True)[0] == text
+
+
 def test_pii_on_odd_rows(spark):
     rows = pii.masked(docs(spark, ODD), length_col="n_chars")
     assert rows.count() == len(ODD) and docs(spark, ODD).columns == rows.columns
