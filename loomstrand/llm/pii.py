@@ -5,6 +5,12 @@ becomes another card number with a right check digit, a date another date of the
 on the key and the format alone, so equal values stay equal in all documents, and whoever holds the key can go back.
 Where other groups of digits touch a card, a pseudonym may by chance let another cut of the run be a card; the way back
 by text is then wrong there, that by the places of `pii` isn't.
+
+Phones are found in international writing (+ or 00 and a country), with an area code in brackets, as NNN-NNN-NNNN, and in
+national writing with a leading 0 and 9 to 12 digits. Dates are found in digits with a year of four, also before the
+time of an ISO time stamp. Not covered: national numbers without a leading 0 in other groups (as Spanish 612 34 56 78),
+phones of under 7 digits or with letters; numbers of 13 and more digits without + or brackets, as an 0033 number, count as
+accounts; dates with a month's name, with a year of two digits or without separators; ranges such as 2021-01-02/03.
 """
 
 from __future__ import annotations
@@ -118,12 +124,16 @@ def refill(shape: str, chars: str) -> str:
 
 EMAIL = re.compile(r"[^\W_](?:[\w.%+-]*[\w%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*)(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
 NUMBER = re.compile(
-    r"""(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
+    r"""(?=[0-9A-Z+(])(?:(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
-    |(?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})(?![\w/-]))
+    |(?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})(?:(?=[Tt][0-9]{2}(?![0-9]))|(?=[Tt][0-9]{4}(?:[0-9]{2})?(?![0-9]))|(?![\w/-])))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<long>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))
-    |(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,4}(?!\w)|\+[0-9]{8,15}(?!\w))""",
+    |(?P<phone>(?<![\w.])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,12}(?:[ ./-][0-9]{2,12}){0,4}(?!\w)
+        |(?<![\w.])\([0-9]{2,5}\)[ ]?[./-]?[ ]?[0-9]{3,12}(?:[ .-][0-9]{2,9}){0,3}(?!\w)
+        |(?<![\w+])(?<![0-9][./-])0[0-9]{1,5}(?:[ ]?/[ ]?|[ .-])[0-9]{1,9}(?:[ .-][0-9]{2,9}){0,3}(?!\w)
+        |(?<![\w+])(?<![0-9][./-])0[1-9][0-9]{8,9}(?!\w)
+        |(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,4}(?!\w)|\+[0-9]{8,15}(?!\w)))""",
     re.X,
 )
 
@@ -206,12 +216,22 @@ def move_number(kind: str, text: str, key: bytes, back: bool = False) -> tuple[s
             return "card", refill(text, body + luhn_digit(body))
         x = walk(int(digits), 10**n, key, "account", lambda v: not cards(refill(text, f"{v:0{n}d}"), 0), back)
         return "account", refill(text, f"{x:0{n}d}")
+    if text[0] == "0":  # a trunk prefix, or 00 and a country; what follows it stays other than 0, so that it reads so again
+        lead = re.match(r"00[1-9][0-9]{0,2}(?=[ .-])|0(?=[1-9])", text)
+        keep = lead[0] if lead else ""
+        rest = digits[len(keep) :]
+        if not keep or not (9 <= n <= 12 if keep == "0" else 7 <= len(rest) <= 14):
+            return None
+        low = 10 ** (len(rest) - 1) if keep == "0" else 0
+        x = low + feistel(int(rest) - low, 10 ** len(rest) - low, key, f"national {keep}", back)
+        return "phone", refill(text, f"{keep}{x:0{len(rest)}d}")
     lead = re.match(r"\+([0-9]{1,3})[ .(-]", text)
     country = lead[1] if lead else ""
     if not (7 <= n - len(country) <= 14 and (text[0] in "+(" or re.fullmatch(r"[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}", text))):
         return None
     rest = digits[len(country) :]
-    x = feistel(int(rest), 10 ** len(rest), key, f"phone {country}", back)
+    fits = lambda v: text[0] in "+(" or not v < 10 ** (len(rest) - 1)
+    x = walk(int(rest), 10 ** len(rest), key, f"phone {country}", fits, back)
     return "phone", refill(text, country + f"{x:0{len(rest)}d}")
 
 

@@ -81,6 +81,23 @@ def test_accounts_hold_no_card_and_come_back():
         assert [f["kind"] for f in found] == ["account"] and not pii.cards(new, 0) and pii.pseudonymise_text(new, b"key", back=True)[0] == text
 
 
+@pytest.mark.parametrize("kind,value", [
+    ("phone", "06 12 34 56 78"), ("phone", "0171 2345678"), ("phone", "030/1234567"), ("phone", "(0171) 2345678"), ("phone", "0612345678"), ("phone", "020 7946 0958"), ("phone", "012-345-6789"), ("phone", "212-345-6789"),
+    ("phone", "+33 6 12 34 56 78"), ("phone", "+49 171 2345678"), ("phone", "+49 (0)171 2345678"), ("phone", "0043 1 533777"), ("date", "1990-01-02"), ("date", "12.11.1990"),
+])
+def test_national_phones_and_time_stamps(kind, value):
+    for before, after in (("call ", " now"), ("", ""), ("(", ").")) + ((("at ", "T10:00:00Z"), ("at ", "T10:00"), ("", "T100000Z")) if kind == "date" else ()):
+        new, found = pii.pseudonymise_text(f"{before}{value}{after}", b"key")
+        assert [(f["kind"], f["start"], f["end"]) for f in found] == [(kind, len(before), len(before) + len(value))]
+        assert value not in new and pii.pseudonymise_text(new, b"key", back=True)[0] == f"{before}{value}{after}"
+    assert value[0] != "0" or found[0]["pseudonym"][0] == "0"
+
+
+def test_numbers_that_are_no_phones():
+    for text in ("0.1234 5678 9012", "00 12 34 56 78", "08:30 09:45", "version 0.12.3456", "0123", "007 12 34", "2021 300 400", "page 01 02 03"):
+        assert pii.pseudonymise_text(text, b"key")[1] == []
+
+
 def test_pii_on_odd_rows(spark):
     rows = pii.masked(docs(spark, ODD), length_col="n_chars")
     assert rows.count() == len(ODD) and docs(spark, ODD).columns == rows.columns
