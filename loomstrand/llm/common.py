@@ -79,20 +79,26 @@ def map_rows(df: DataFrame, columns: list[str], schema: T.StructType, each: Call
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def hash_sample(df: DataFrame, columns: list[str], rows: int, id_col: str = "doc_id", by: str | None = None, most_groups: int = 64) -> list:
+def hash_sample(df: DataFrame, columns: list[str], rows: int, id_col: str = "doc_id", by: str | None = None, most_groups: int | None = 64) -> list:
     """About `rows` rows of df (of each value of `by`), never over four times as many, as [*columns, by] on the driver.
 
     A row is taken if a hash of its id is small enough for the number of rows there are, so that each task sends only
-    its share of the sample, however many tasks there are. At most the `most_groups` commonest values of `by` count.
+    its share of the sample, however many tasks there are. At most the `most_groups` commonest values of `by` count, or all if it is None.
     """
     h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40))
     if by is None:
         total = df.count()
         return df.where(h < int((1 << 40) * min(1.0, rows / max(1, total)))).select(*columns).limit(4 * rows).collect()
-    counts = df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(most_groups).collect()
+    counts = df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by)
+    counts = (counts if most_groups is None else counts.limit(most_groups)).collect()
+    bound = lambda n: int((1 << 40) * min(1.0, rows / n))
     rule = F.lit(False)
-    for value, n in counts:
-        rule = rule | ((F.col(by) == value) & (h < int((1 << 40) * min(1.0, rows / n))))
+    if most_groups is None and counts:  # one flat expression, however many values there are
+        kind = df.schema[by].dataType
+        rule = h < F.element_at(F.create_map(*(x for value, n in counts for x in (F.lit(value).cast(kind), F.lit(bound(n)).cast("long")))), F.col(by))
+    elif counts:
+        for value, n in counts:
+            rule = rule | ((F.col(by) == value) & (h < bound(n)))
     return df.where(rule).select(*columns, by).limit(4 * rows * max(1, len(counts))).collect()
 
 

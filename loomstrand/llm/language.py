@@ -5,12 +5,12 @@ the longest phrases that occur in that sample (each phrase one walk of the autom
 explains a text well if few phrases are needed. Counts are normalised by the text's length and the sample's size, and the
 language with the lowest entropy wins.
 
-The automata become transition tables over a small alphabet, so that thousands of texts take each step together.
+The automata become transition tables over the letters of their own samples, all of them, so that thousands of texts take
+each step together; tables that would be large are kept as sorted transitions.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +23,8 @@ from loomstrand.llm.common import crc_mod, field, hash_sample, id_type, map_rows
 #: The bits above hold the number of phrases that a step completes.
 ENDS = np.int32(1 << 29)
 SPACE, OTHER, PAD = 0, 1, 2
+#: Places of full tables, of all languages together.
+DENSE = 1 << 25
 
 
 @lru_cache(maxsize=1)
@@ -66,29 +68,50 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Languages:
-    """The automata of the languages as tables, over one alphabet of the samples' commonest letters."""
+    """The automata of the languages as tables, each over all letters of its sample; other letters are OTHER to it."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...], alphabet: int = 60):
+    def __init__(self, samples: tuple[tuple[str, str], ...], dense: int = DENSE):
         self.names = [name for name, _ in samples]
-        count = Counter(ch for _, text in samples for ch in text.lower() if ch.isalpha())
-        symbols = [ch for ch, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:alphabet]]
-        self.codes = np.where(letters(), OTHER, SPACE).astype(np.uint8)
+        symbols = sorted({ch for _, text in samples for ch in text.lower() if ch.isalpha()})
+        self.codes = np.where(letters(), OTHER, SPACE).astype(np.uint16 if len(symbols) + 3 < 1 << 16 else np.uint32)
         for k, ch in enumerate(symbols):
             self.codes[ord(ch)] = k + 3
-        self.width, self.tables, self.bits = len(symbols) + 3, [], []
+        self.own, self.tables, self.bits = [], [], []
         for _, text in samples:
             sample = self.encode(text)
-            go = suffix_automaton(sample.tolist())
+            known = np.unique(sample[sample > PAD])
+            own = np.full(len(symbols) + 3, OTHER, np.int64)
+            own[[SPACE, PAD]] = SPACE, PAD
+            own[known] = np.arange(len(known)) + 3
+            width = len(known) + 3
+            go = suffix_automaton(own[sample].tolist())
             # where a phrase cannot go on, it ends and the letter begins the next; a letter the sample lacks is one itself
-            root = np.array([go[0][c] * self.width + ENDS if c in go[0] else 2 * ENDS for c in range(self.width)], np.int32)
-            step = np.tile(root, (len(go), 1))
-            step[0, step[0] == 2 * ENDS] = ENDS
-            for state, edges in enumerate(go):
-                for c, to in edges.items():
-                    step[state, c] = to * self.width
-            self.tables.append(step.ravel())
+            root = np.array([go[0][c] * width + ENDS if c in go[0] else 2 * ENDS for c in range(width)], np.int64)
+            first = np.where(root == 2 * ENDS, ENDS, root)
+            edges = sorted((state * width + c, to * width) for state, edges in enumerate(go) for c, to in edges.items())
+            at, to = np.array(edges, np.int64).reshape(-1, 2).T
+            if len(go) * width <= dense:
+                dense -= len(go) * width
+                step = np.tile(root, (len(go), 1)).astype(np.int32)
+                step[0] = first
+                step = step.ravel()
+                step[at] = to
+                self.tables.append(step)
+            else:
+                self.tables.append((at.copy(), to.copy(), root, first))
+            self.own.append(own)
             self.bits.append(np.log2(max(2, len(sample))))
 
+    @staticmethod
+    def step(table: np.ndarray | tuple[np.ndarray, ...], state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The next states, with the phrases that end in the bits above."""
+        if isinstance(table, np.ndarray):
+            return table.take(state + codes)
+        at, to, root, first = table
+        place = state + codes
+        k = np.minimum(np.searchsorted(at, place), len(at) - 1)
+        return np.where(at[k] == place, to[k], np.where(state == 0, first[codes], root[codes]))
+
     def encode(self, text: str) -> np.ndarray:
         return self.codes[code_points(text.lower())]
 
@@ -105,16 +128,16 @@ class Languages:
             return out
         order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
         owner_of = np.array(owner)[order]
-        grid = np.full((piece, len(parts)), PAD, np.uint8)
+        grid = np.full((piece, len(parts)), PAD, self.codes.dtype)
         sizes = np.array([len(parts[k]) for k in order])
         for column, k in enumerate(order):
             grid[: sizes[column], column] = parts[k]
         active = [int(np.count_nonzero(sizes > t)) for t in range(int(sizes[0]))]
-        for lang, step in enumerate(self.tables):
-            state = np.zeros(len(parts), np.int32)
+        for lang, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
+            state = np.zeros(len(parts), np.int64)
             count = np.zeros(len(parts), np.int64)
             for t, n in enumerate(active):
-                made = step.take(state[:n] + grid[t, :n])
+                made = self.step(table, state[:n], own[grid[t, :n]])
                 count[:n] += made >> 29
                 state[:n] = made & (ENDS - 1)
             out[:, lang] = np.bincount(owner_of, count + (state > 0), len(texts))
@@ -126,9 +149,9 @@ def languages(samples: tuple[tuple[str, str], ...]) -> Languages:
     return Languages(samples)
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int, max_langs: int) -> tuple[tuple[str, str], ...]:
+def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int, max_langs: int | None) -> tuple[tuple[str, str], ...]:
     """(language, text) samples: of each language about sample_docs texts chosen by a hash, cut at sample_chars
-    characters in all. All bounds are fixed, so the model does not grow with the corpus."""
+    characters in all. The model grows with the number of languages (all, if max_langs is None), not with the corpus."""
     rows = labelled.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     chosen = hash_sample(rows.withColumn("text", F.substring("text", 1, sample_chars)), ["id", "text"], sample_docs, "id", by="lang", most_groups=max_langs)
     by: dict[str, list[str]] = {}
@@ -146,7 +169,7 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     return tuple(out)
 
 
-def identify_language(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 48, sample_chars: int = 24_000, max_langs: int = 64) -> DataFrame:
+def identify_language(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 48, sample_chars: int = 24_000, max_langs: int | None = None) -> DataFrame:
     """One row per row of df: id, lang_pred, score, phrases (per learned language).
 
     `labelled` has the training rows. Null texts and texts without a letter get 'und' and score 0, as does everything if

@@ -210,3 +210,24 @@ def test_language_on_odd_rows_and_held_out(spark):
     rows = language.op7_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows)
     assert sum(r["lang"] == r["lang_pred"] for r in rows) > 0.97 * len(rows)
+
+
+def test_every_language_and_every_letter_is_learned(spark):
+    # 70 languages of ten letters each, of as many scripts' code points as there are; texts differ in letters alone
+    rng, rows = random.Random(5), []
+    signs = [chr(0x4E00 + k) for k in range(700)]
+    for k in range(70):
+        own = signs[10 * k : 10 * k + 10]
+        rows += [(100 * k + i, "".join(rng.choice(own) + " " * (i % 2) for _ in range(60)), f"lang{k:02d}") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in language.identify_language(table, table.where("doc_id % 100 <> 2")).collect()}
+    assert all(found[i]["lang_pred"] == lang and len(found[i]["phrases"]) == 70 for i, _, lang in rows)
+
+
+def test_sorted_transitions_equal_full_tables():
+    rng = random.Random(6)
+    word = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(400))
+    samples = (("a", word("abcde ")), ("g", word("\u03b1\u03b2\u03b3\u03b4 ")), ("m", word("abc\u03b1\u4e00\u4e01 ")))
+    full, sparse = language.Languages(samples), language.Languages(samples, dense=0)
+    texts = [word("abcdexyz\u03b1\u03b2\u4e00\u4e05 .7") for _ in range(20)] + ["", "z", "\u03b1"]
+    assert (full.phrases([full.encode(t) for t in texts], 64) == sparse.phrases([sparse.encode(t) for t in texts], 64)).all()
