@@ -375,11 +375,18 @@ COMPONENTS = """pr as (select o_custkey a, o_custkey + 1 + o_orderkey % 3 b from
 bo as (select a, b from pr union select b, a from pr), cc as (select a node, a c from bo union select bo.b, cc.c from cc join bo on bo.a = cc.node and cc.c < bo.b)"""
 
 
-def _pairs(spark, d) -> DataFrame:
-    orders = X.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+def _pairs(spark, d, every: bool = False) -> DataFrame:
+    orders = X.table(spark, d, "orders")
+    if not every:
+        orders = orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
     return orders.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("b"))
 
 
+def _component_medians(spark, d, found: DataFrame) -> DataFrame:
+    values = found.join(X.table(spark, d, "customer"), F.col("node") == F.col("c_custkey")).select("component", F.floor("c_acctbal").cast("long").alias("v"))
+    return values.groupBy("component").agg(F.count("*").alias("size")).join(P.upper_median(values, ["component"], "v"), "component")
+
+
 @query(f"with recursive {COMPONENTS} select node, min(c) component from cc group by node")
 def components(spark, d):
     return G.connected_components(_pairs(spark, d))
@@ -388,9 +395,18 @@ def components(spark, d):
 @query(f"""with recursive {COMPONENTS}, cm as (select node, min(c) component from cc group by node)
 select component, count(*) size, list_sort(list(cast(floor(c_acctbal) as bigint)))[count(*) // 2 + 1] median from cm join customer on node = c_custkey group by component""")
 def component_median(spark, d):
-    found = G.connected_components(_pairs(spark, d))
-    values = found.join(X.table(spark, d, "customer"), F.col("node") == F.col("c_custkey")).select("component", F.floor("c_acctbal").cast("long").alias("v"))
-    return values.groupBy("component").agg(F.count("*").alias("size")).join(P.upper_median(values, ["component"], "v"), "component")
+    return _component_medians(spark, d, G.connected_components(_pairs(spark, d)))
+
+
+@query()
+def components_of_all_orders(spark, d):
+    """components over the links of every order; the recursive SQL holds those of a part. A union-find is the test."""
+    return G.connected_components(_pairs(spark, d, every=True))
+
+
+@query()
+def component_median_of_all_orders(spark, d):
+    return _component_medians(spark, d, G.connected_components(_pairs(spark, d, every=True)))
 
 
 @query(f"with {EDGES}, {NODES} select id, name || ' LN:i:' || length(seq) || ' RC:i:' || count || ' XO:i:' || cast(circular as int) as tags from nodes where id % 2 = 0 and count > 5 and length(seq) > 1000")

@@ -121,3 +121,28 @@ def test_fastq_with_at_in_quality_and_bad_suffix(spark, tmp_path):
     assert [(r["name"], r["seq"], r["qual"]) for r in rows] == [("a", "ACGT", "@III"), ("b", "GG", "II")]
     with pytest.raises(ValueError):
         file_format("reads.txt")
+
+
+def test_components_of_all_orders_match_union_find(spark):
+    from loomstrand.plans.catalogue import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    above: dict[int, int] = {}
+
+    def root(x):
+        above.setdefault(x, x)
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for key, a in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey").collect():
+        low, high = sorted((root(a), root(a + 1 + key % 3)))
+        above[high] = low
+    rows = QUERIES["components_of_all_orders"](spark, d).collect()
+    assert {r["node"]: r["component"] for r in rows} == {x: root(x) for x in above} and len(rows) == len(above)
+    values: dict[int, list[int]] = {}
+    for c, v in spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", "cast(floor(c_acctbal) as bigint)").collect():
+        if c in above:
+            values.setdefault(root(c), []).append(v)
+    found = {(r["component"], r["size"], r["median"]) for r in QUERIES["component_median_of_all_orders"](spark, d).collect()}
+    assert found == {(c, len(v), sorted(v)[len(v) // 2]) for c, v in values.items()}
