@@ -1,10 +1,10 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees over words.
+"""Removal of repeated passages by keys of word windows, dealt as the leaves of prefix-partitioned suffix trees.
 
 Suffixes are cut at `window` words, since a passage of that length decides. They are dealt to groups by variable-length
 prefixes: boundaries in the order of suffixes, each cut to the shortest prefix that tells it from the one before, chosen
-on a bounded sample so that groups fit in memory. Within its group the sorted suffixes are the leaves of the subtree;
-its internal nodes at full depth are the windows that occur more than once, and the adjoining ones in a document make its
-maximal repeats. A node's smallest document keeps its occurrence, the others lose theirs.
+on a bounded sample so that groups fit in memory. Within its group equal keys are the windows that occur more than once;
+common prefixes of neighbours are not computed, and neither are maximal repeats. A window's smallest document keeps its
+occurrence, the others lose theirs; what a document loses is the union of such windows.
 
 Three exact devices keep the shuffles small. Whole copies of a text with a smaller id lose all, and enter no tree. A suffix only enters a tree if its anchor (the least hash of a run of words
 in its window) also occurs in another document; equal windows have equal anchors. And each task first settles what it
@@ -222,7 +222,7 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, run: int = 6, sample_docs: int = 400) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces), kept_text, and
-    repeats (the maximal repeats removed, as [start, end) word spans).
+    removed_spans (the union of the windows removed, as [start, end) word spans; spans that abut are one).
 
     Words are runs of other than ASCII white space. A word goes if a window of `window` words that covers it also starts
     in a document with a smaller id; windows are judged on the input. Ids must be integers; a row without one keeps all
@@ -251,7 +251,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unnamed = rows.where("id is null").select("id", "body", F.hash("body").alias("h"), F.lit(False).alias("copy"), F.array().cast("array<binary>").alias("pos"))
     judged = dealt.join(per_id, "id", "left").select("id", "body", "h", "copy", "pos").unionByName(unnamed)
     spans = T.ArrayType(T.StructType([field("start", T.LongType()), field("end", T.LongType())]))
-    schema = T.StructType([field("id", T.LongType()), field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_sha256", T.StringType()), field("kept_text", T.StringType()), field("repeats", spans)])
+    schema = T.StructType([field("id", T.LongType()), field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_sha256", T.StringType()), field("kept_text", T.StringType()), field("removed_spans", spans)])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -225,3 +225,9 @@ def test_pipeline_stages(spark):
     for stage in (cp.near_duplicates, cp.benchmark_decontamination, cp.pii, cp.toxicity):
         assert stage(spark, odd, d).columns == odd.columns
     assert cp.run(spark, d).count() > 0
+
+
+def test_removed_spans_are_the_union_of_removed_windows(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(13)) for c in "ab")
+    rows = {r["doc_id"]: r for r in substrings.remove_repeats(docs(spark, [(1, one), (2, two), (3, f"{one} {two} end")])).collect()}
+    assert [tuple(x) for x in rows[3]["removed_spans"]] == [(0, 26)] and rows[3]["n_removed"] == 26 and not rows[1]["removed_spans"]
