@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, an own one (tests)."""
+    """The folder that driver and executors share. Only a local session (as in tests) may go without one; it gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='loomstrand-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -42,7 +44,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files once the driver has forgotten what made them
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def id_type(df: DataFrame, column: str) -> T.DataType:

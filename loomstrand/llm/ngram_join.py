@@ -1,15 +1,20 @@
 """Similarity join on word shingles by a token-group matrix.
 
-Documents of one shingle set are one class. Similar classes are put in groups; for each group the union of its members'
-tokens is stored (the matrix: token x group). A class is compared with a group only if the overlap of its tokens with
-that union reaches the least overlap that a link to any member needs, and only then the group is opened and the bound
-taken for each member; what remains is verified on the whole sets. No linked pair can fail a bound, so the join is exact.
-
-The matrix holds tokens of prefixes only: with sets ordered by hash, sets of similarity 0.8 or more share at least
-k = 1 + n // 8 of the n - ceil(0.8 n) + k least tokens of each (n: the smaller set). Tokens of one class alone are
-dropped. Classes are first linked to the leader of their group, so that large clusters of near copies become one
-component at linear cost; after that only pairs across components matter, asked from the smaller component. A token that
-very many classes share is left out, its number subtracted from the bound, where the other tokens still must meet.
+Documents of one shingle set are one class. Classes that resemble a common leader form groups, which are cut into blocks
+of members of like size; for each block the union of its members' tokens is stored (the matrix: token x block). A class
+is compared with a block only if the overlap of its tokens with that union reaches what a link to any member needs, and
+only then the block is opened: its members are told apart by bounds, then by parity bitmaps, and what remains is
+verified on the whole sets. No linked pair can fail a bound, so the join is exact.
+
+Most classes never enter the matrix. Sets link only if 9 * overlap >= 4 * (n + n'), so a class needs 0.8 n tokens that
+other classes have too. A first pass counts these for each class: tasks settle what their own documents share and send
+every other token once, four bytes each, so that a token of a third of all documents is one entry of each task. Of
+the classes that are left, tokens are ordered from the rarest, and the matrix holds prefixes only: two linked sets share
+at least k = 1 + n // 8 of the n - ceil(0.8 n) + k rarest tokens of each (n: the smaller set). A passage that very many
+documents share thus stands at the end of their orders, and no pair is made for it. Classes are first linked to the
+leader of their group (of those that share a rare token, the one with the least of its own), so that large clusters of
+near copies become one component at linear cost; after that only blocks of other components are asked, by the smaller
+component.
 """
 
 from __future__ import annotations
@@ -23,11 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstrand.llm.common import batch_words, cut, field, mix, table, window_hashes
+from loomstrand.llm.common import batch_words, cut, drop, field, id_type, mix, table, window_hashes
 
-HEAVY = 256  # classes that share a token from which on it is left out where that is exact
-BLOCK = 64  # members of a group at most, about
-BROADCAST_ROWS = 200_000  # ids (16 bytes each) up to which texts are picked by a broadcast; beyond, by a shuffle
+BLOCK = 128  # members of a block, about
+PART_TOKENS = 1 << 20  # tokens of a part of the first count, about: what one task holds at a time
+CHUNK_TOKENS = 1 << 20  # tokens that a task settles among its own documents at a time, about
+BROADCAST_ROWS = 200_000  # row handles (24 bytes each) up to which texts are picked by a broadcast; beyond, by a shuffle
+SLICE = 256  # texts that stand in Python at a time
 
 
 def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
@@ -50,84 +57,183 @@ def class_key(shingles: np.ndarray) -> int:
     return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def prefix_length(n: int) -> int:
-    return min(n, n - -(-4 * n // 5) + 1 + n // 8)
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-DOCS = T.StructType([field("id", T.LongType()), field("n", T.LongType()), field("c", T.LongType())])
-TOKENS = T.StructType([field("token", T.LongType()), field("c", T.LongType()), field("n", T.IntegerType())])
-SHARED = T.StructType([*TOKENS.fields, field("leader", T.LongType())])
+TOKENS = T.StructType([field("token", T.LongType()), field("c", T.LongType()), field("n", T.LongType())])
+DEALT = T.StructType([field("part", T.IntegerType()), *(field(k, T.BinaryType()) for k in ("classes", "counts", "tokens", "several"))])
+COUNTS = T.StructType([field("c", T.LongType()), field("s", T.LongType())])
 SETS = T.StructType([field("c", T.LongType()), field("tokens", T.BinaryType())])
+SKETCHES = T.StructType([field("c", T.LongType()), field("bits", T.BinaryType())])
+PAIRS = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sets = shingle_sets(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64())], names=DOCS.names)
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
+        sets = shingle_sets(part.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64())], names=["id", "h", "n", "c"])
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix tokens of each class, once for all documents of it in a task while they are remembered."""
+
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(classes, sets) of up to about CHUNK_TOKENS tokens, each class once for as long as a task remembers it."""
     seen: set[int] = set()
+    classes: list[int] = []
+    sets: list[np.ndarray] = []
+    total = 0
+    for part in _slices(batches):
+        if len(seen) > 1_000_000:
+            seen.clear()
+        for s in shingle_sets(part.column(0).to_pylist()):
+            if len(s) and (c := class_key(s)) not in seen:
+                seen.add(c)
+                classes.append(c)
+                sets.append(s)
+                total += len(s)
+        if total >= CHUNK_TOKENS:
+            yield classes, sets
+            classes, sets, total = [], [], 0
+    if classes:
+        yield classes, sets
+
+
+def _deal(parts: int):
+    """Each chunk's tokens by part: those of one class as four bytes each, in the order of the classes with their
+    counts; those of several classes once. How many tokens of each class were settled here goes out as a row of its own."""
+
+    def row(part: int, classes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, several: np.ndarray) -> tuple:
+        return part, classes.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), tokens.astype("<u4").tobytes(), several.astype("<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.uint64)
+        for classes, sets in _unseen(batches):
+            names, tokens = np.array(classes, np.int64), np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+            alone = new & np.concatenate((new[1:], [True]))
+            out = []
+            settled = np.bincount(owner[~alone], minlength=len(names))
+            met = np.flatnonzero(settled)
+            if len(met):
+                out.append(row(int(names[0]) % parts, names[met], settled[met], none, none))
+            part = (((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+            edges = np.searchsorted(part, np.arange(parts + 1)) if parts <= len(part) else None
+            held = np.unique(part).tolist()
+            for p in held:
+                a, b = (edges[p], edges[p + 1]) if edges is not None else np.searchsorted(part, (p, p + 1))
+                one, start = alone[a:b], new[a:b]
+                mine = np.sort(owner[a:b][one].astype(np.uint64) << np.uint64(32) | tokens[a:b][one] & np.uint64(0xFFFFFFFF))
+                whose, counts = np.unique((mine >> np.uint64(32)).astype(np.int64), return_counts=True)
+                out.append(row(p, names[whose], counts, mine & np.uint64(0xFFFFFFFF), tokens[a:b][start & ~one] & np.uint64(0xFFFFFFFF)))
+            for at in range(0, len(out), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(v, f) for v, f in zip(zip(*out[at : at + 512], strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=DEALT.names)
+
+    return run
+
+
+def _shared(held: list[tuple[bytes, ...]]) -> pa.RecordBatch | None:
+    """Of one part, how many tokens of each class another class has."""
+    names, counts, tokens, several = (np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in enumerate(("<i8", "<u4", "<u4", "<u4")))
+    settled = np.concatenate([np.full(len(x[1]) // 4, not x[2] and not x[3]) for x in held])
+    owner = np.repeat(np.flatnonzero(~settled), counts[~settled])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+    number = counts.astype(np.int64) * settled
+    if len(start):
+        of = names[owner]
+        shared = (np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)) | np.isin(tokens[start], several)
+        number += np.bincount(owner[np.repeat(shared, np.diff(np.append(start, len(tokens))))], minlength=len(names))
+    some = number > 0
+    return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(number[some])], names=COUNTS.names) if some.any() else None
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_shared() of each part; rows come in the order of parts."""
+    part, held = None, []
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            if len(seen) > 1_000_000:
-                seen.clear()
-            tokens, classes, sizes = [], [], []
-            for s in shingle_sets(batch.column(0).slice(at, 256).to_pylist()):
-                if len(s) and (c := class_key(s)) not in seen:
-                    seen.add(c)
-                    tokens.append(s[: prefix_length(len(s))])
-                    classes.append(c)
-                    sizes.append(len(s))
-            if tokens:
-                counts = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=TOKENS.names)
-
-
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of tokens, then classes, each class once and only tokens of several classes; the first class
-    of a token is its leader."""
-    held: tuple[int, int, int] | None = None  # the last row of a token so far of one class only
-    last: tuple[int, int, int] | None = None  # token, class, leader
-    for batch in batches:
-        token, c, n = (batch.column(k).to_numpy() for k in range(3))
-        same = np.concatenate(([last is not None and (token[0], c[0]) == last[:2]], (token[1:] == token[:-1]) & (c[1:] == c[:-1])))
-        token, c, n = token[~same], c[~same], n[~same]
-        if not len(token):
-            continue
-        goes_on = last is not None and token[0] == last[0]
-        new = np.concatenate(([not goes_on], token[1:] != token[:-1]))
-        starts = np.flatnonzero(np.concatenate(([True], new[1:])))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(token)]))))
-        leader = c[starts]
-        several = np.bincount(group) > 1
-        front = [np.empty(0, np.int64)] * 4
-        if goes_on:
-            leader[0], several[0] = last[2], True
-            if held is not None:
-                front = [np.array([x]) for x in (*held, held[1])]
-        end = len(starts) - 1
-        send = several[group]
-        held = None if several[end] else (int(token[-1]), int(c[-1]), int(n[-1]))
-        last = (int(token[-1]), int(c[-1]), int(leader[end]))
-        out = [np.concatenate((f, v[send])) for f, v in zip(front, (token, c, n, leader[group]), strict=True)]
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3])], names=SHARED.names)
+        for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part and held:
+                if (out := _shared(held)) is not None:
+                    yield out
+                held = []
+            part = p
+            held.append(tuple(row))
+    if held and (out := _shared(held)) is not None:
+        yield out
 
 
-PAIRS = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
+def shared_counts(texts: DataFrame, tokens: int) -> DataFrame:
+    """(c, s): of the classes of the texts, how many of their tokens another class has; never too few. (A collision of
+    what is sent of tokens, or a class that several tasks met, makes it too many.)"""
+    parts = max(1, -(-tokens // PART_TOKENS))
+    dealt = texts.mapInArrow(_deal(parts), DEALT).repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(_meet, COUNTS).groupBy("c").agg(F.sum("s").alias("s"))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets_of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, set) of each row whose text is of class c."""
+    for part in _slices(batches):
+        found = [(c, s.tobytes()) for c, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True) if class_key(s) == c]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=SETS.names)
+
+
+def _tokens_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
+        sets = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes))], names=TOKENS.names)
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least twice as many bits as tokens (a power of two): for each bit whether an odd number of tokens
+    falls on it. Two such differ in no more bits than the sets do in tokens; a longer one folds to a shorter one."""
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(np.frombuffer(x, np.uint64)) for x in part.column(1).to_pylist()], pa.binary())], names=SKETCHES.names)
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of opened blocks that the asking class may link with, by sizes, shared tokens and sketches."""
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            a, b = [], []
+            for c, n, s, size, comp, bits, members in zip(*(x.to_pylist() for x in batch.slice(at, SLICE).columns), strict=True):
+                for m in members:
+                    if (size, comp) < (m["size"], m["comp"]) and 9 * min(s, m["s"]) >= 4 * (n + m["n"]) and 9 * differ(bits, m["bits"]) <= n + m["n"]:
+                        a.append(c)
+                        b.append(m["c"])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=PAIRS.names)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         keep = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=PAIRS.names)
 
@@ -138,14 +244,22 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(_verified, PAIRS)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs that link, written to the shared folder. Sets are made again for the classes in question alone."""
-    pairs = cut(pairs.select("a", "b"), f"{name}-pairs")
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = cut(docs.where("id is not null and n > 0").join(classes, "c").groupBy("c").agg(F.min("id").alias("id")), f"{name}-classes")
-    pick = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = cut(rows.where("id is not null").join(pick, "id").select("c", "text").mapInArrow(_sets_of_class, SETS), f"{name}-sets")
-    return cut(verify(pairs, sets), f"{name}-links")
+def whole_sets(rows: DataFrame, docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(c, tokens) of the classes that have enough tokens in common with others, from one text of each."""
+    reps = docs.where("n > 0").groupBy("c", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("row"))
+    alive = cut(reps.join(counts, "c").where("5 * s >= 4 * n").select("c", F.col("row.id").alias("rep"), F.col("row.h").alias("rep_h")), "alive")
+    pick = F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive
+    found = rows.join(pick, rows["id"].eqNullSafe(pick["rep"]) & (rows["h"] == pick["rep_h"])).select("c", "text").mapInArrow(_sets_of_class, SETS)
+    return cut(found.groupBy("c").agg(F.first("tokens").alias("tokens")), "sets")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(token, c, n, s): the rarest tokens of each class of n tokens, s of which another of these classes has too."""
+    tokens = sets.mapInArrow(_tokens_of_sets, TOKENS)
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(often, "token").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list")).withColumn("s", F.size("list").cast("long")).where("5 * s >= 4 * n")
+    length = F.least(F.col("n"), F.col("n") - F.ceil(4 * F.col("n") / 5) + least_overlap(F.col("n"))) - (F.col("n") - F.col("s"))  # its own tokens come first
+    return cut(ordered.select(F.explode(F.slice("list", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("t"), "c", "n", "s").select("t.token", "c", "n", "s"), "prefixes")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -158,51 +272,60 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         near = both.join(labels.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         spread = labels.join(near.withColumnRenamed("a", "c"), "c").select("c", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         new = cut(spread.join(jump, "comp", "left").select("c", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")), name)
-        labels = new.select("c", "comp")
+        drop(labels)
+        labels = new
         if new.where(F.col("comp") != F.col("old")).isEmpty():
-            return labels
+            drop(both)
+            found = labels.select("c", "comp")
+            found.written_at = labels.written_at
+            return found
 
 
 def least_overlap(n: Column) -> Column:
     return F.lit(1) + F.floor(n / 8)
 
 
-def cross_pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components that pass the bounds of the token-group matrix."""
+def may_link(n: str, s: str, n_other: str, s_other: str) -> Column:
+    """Whether sets of n tokens, s of which others have, may link: 9 * overlap >= 4 * (n + n')."""
+    return 9 * F.least(F.col(s), F.col(s_other)) >= 4 * (F.col(n) + F.col(n_other))
+
+
+def leaders(prefix: DataFrame) -> DataFrame:
+    """(c, n, s, b, n_b, s_b): for each class the leader, another one if there is any, with which it shares most tokens of prefixes."""
+    lead = prefix.groupBy("token").agg(F.max_by(F.struct(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b")), F.struct(F.col("s") / F.col("n"), "n", "c")).alias("lead"))
+    met = prefix.join(lead, "token").groupBy("c", "n", "s", "lead").count()
+    return met.groupBy("c", "n", "s").agg(F.max_by("lead", F.struct(F.col("lead.b") != F.col("c"), "count", "lead")).alias("lead")).select("c", "n", "s", "lead.*")
+
+
+def blocks_of(best: DataFrame, comps: DataFrame) -> DataFrame:
+    """(c, n, s, size, comp, block): members of a group (a component, or the classes of one leader) of like sizes and
+    shares, dealt to blocks of about BLOCK."""
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    best = shared.groupBy("c", "n", "leader").count().groupBy("c", "n").agg(F.max_by("leader", F.struct("count", "leader")).alias("group"))
     member = best.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(sizes, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    member = member.withColumn("group", F.when(F.col("size") > 1, F.col("comp")).otherwise(F.col("group")))
-    member = member.withColumn("scale", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))))  # members of like sizes make sharp bounds
-    crowd = member.groupBy("group", "scale").agg(F.count("*").alias("crowd"))
-    member = cut(member.join(crowd, ["group", "scale"]).withColumn("block", F.xxhash64("group", "scale", F.pmod(F.xxhash64("c"), F.ceil(F.col("crowd") / BLOCK)))).withColumn("rank", F.struct("size", "comp")).drop("crowd", "scale"), "members")
-
-    rows = shared.select("token", "c").join(member.select("c", "rank"), "c")
-    token = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("rank").alias("low"), F.max("rank").alias("high")).where(F.col("low") != F.col("high"))
-    rows = cut(rows.join(token.select("token", "high", (F.col("df") > HEAVY).alias("heavy")), "token"), "cross-tokens")
-    heavy = rows.where("heavy").groupBy("c").agg(F.count("*").alias("h"))
-    member = member.join(heavy, "c", "left").withColumn("h", F.coalesce("h", F.lit(0)))
-    member = cut(member.withColumn("k", least_overlap(F.col("n"))).withColumn("crowded", F.col("h") >= least_overlap(0.8 * F.col("n"))), "members")
-
-    groups = member.groupBy("block").agg(F.min("k").alias("k_b"), F.max("h").alias("h_b"), F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("rank").alias("rank_b"))
-    usable = rows.join(member.select("c", "block", "crowded"), "c").where(~F.col("heavy") | F.col("crowded"))
-    matrix = usable.select("token", "heavy", "block").distinct()
-    asking = usable.where(F.col("rank") < F.col("high")).select("token", "heavy", "c")
-    met = asking.join(matrix, ["token", "heavy"]).groupBy("c", "block", "heavy").count()
-    ask = member.select("c", "n", "k", "h", "rank")
-    bound = F.least("k", "k_b")
-    opened = (
-        met.join(ask, "c").join(groups, "block")
-        .where((F.col("rank") < F.col("rank_b")) & (5 * F.col("n") >= 4 * F.col("n_low")) & (4 * F.col("n") <= 5 * F.col("n_high")))
-        .where(F.when(F.col("heavy"), F.col("count") >= 1).otherwise(F.col("count") >= F.greatest(F.lit(1), bound - F.least("h", "h_b"))))
-        .select("c", "block", "n", "k", "rank").distinct()
-    )
-    opened = cut(opened, "opened")
-    inside = rows.select("token", "c").join(member.select("c", "block", "n", "k", "rank"), "c")
-    inside = inside.select("token", "block", F.col("c").alias("b"), F.col("n").alias("n_y"), F.col("k").alias("k_y"), F.col("rank").alias("rank_y"))
-    asked = opened.join(rows.select("token", "c"), "c")
-    pairs = asked.join(inside, ["token", "block"]).where((F.col("rank") < F.col("rank_y")) & (F.col("rank.comp") != F.col("rank_y.comp")) & (5 * F.col("n") >= 4 * F.col("n_y")) & (5 * F.col("n_y") >= 4 * F.col("n")))
-    return pairs.groupBy(F.col("c").alias("a"), "b").agg(F.count("*").alias("met"), F.first(F.least("k", "k_y")).alias("needed")).where(F.col("met") >= F.col("needed")).select("a", "b")
+    member = member.withColumn("group", F.when(F.col("size") > 1, F.col("comp")).otherwise(F.col("b"))).withColumn("cell", F.xxhash64("group", F.floor(F.log(F.col("n")) * 20), F.floor(F.col("s") / F.col("n") * 100)))
+    crowd = member.groupBy("cell").agg(F.count("*").alias("crowd"))
+    dealt = F.xxhash64("cell", F.pmod(F.xxhash64("c"), F.ceil(F.col("crowd") / BLOCK)))
+    return member.join(crowd, "cell").select("c", "n", "s", "size", "comp", dealt.alias("block"))
+
+
+def cross_pairs(prefix: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that pass the bounds of the token-group matrix."""
+    rank = F.struct("size", "comp")
+    block = member.groupBy("block").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("s").alias("s_high"), F.max(rank).alias("rank_b"))
+    rows = prefix.select("token", "c").join(member.select("c", "block", "n", "s", rank.alias("rank")), "c")
+    several = rows.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low != high")
+    rows = cut(rows.join(several.select("token", "high"), "token"), "cross-tokens")
+    matrix = rows.select("token", "block").distinct().join(block, "block")
+    near = (F.col("rank") < F.col("rank_b")) & (5 * F.col("n") >= 4 * F.col("n_low")) & (4 * F.col("n") <= 5 * F.col("n_high")) & may_link("n", "s", "n_low", "s_high")
+    met = rows.where("rank < high").select("token", "c", "n", "s", "rank").join(matrix, "token").where(near).groupBy("c", "block", "n", "n_low").count()
+    opened = cut(met.where(F.col("count") >= least_overlap(F.least("n", "n_low"))).select("c", "block"), "opened")
+    sketches = cut(sets.mapInArrow(_sketches, SKETCHES).join(member, "c"), "sketches")
+    wanted = sketches.join(opened.select("block").distinct(), "block", "left_semi")
+    listed = wanted.groupBy("block").agg(F.collect_list(F.struct("c", "n", "s", "size", "comp", "bits")).alias("members"))
+    asked = opened.join(sketches.drop("block"), "c").join(listed, "block").select("c", "n", "s", "size", "comp", "bits", "members")
+    pairs = cut(asked.mapInArrow(_opened, PAIRS), "cross-pairs")
+    drop(rows, opened, sketches)
+    return pairs
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,44 +333,40 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Sets link when 100 * intersection >= 80 * union, on 64-bit hashes of five-word shingles. Null and empty texts and
     texts without a word have no shingles and link with nothing: their component is their own id. Rows of one set are
-    linked whatever their ids; a null id is nobody's component but gets the one of its set. An empty table gives no rows.
-    Ids must be integers.
+    linked whatever their ids; rows with a null id link as others do, but name no component (null where none of the
+    component has an id). An empty table gives no rows. Ids may be of any type that has an order.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = cut(rows.mapInArrow(_classes, DOCS), "classes")
-    reps = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
-    shared = cut(rows.select("text").mapInArrow(_prefixes, TOKENS).repartition("token").sortWithinPartitions("token", "c").mapInArrow(_share, SHARED), "shared-tokens")
-    star = shared.where("c != leader").groupBy("c", "n", "leader").count()
-    star = star.groupBy("c", "n").agg(F.max_by("leader", F.struct("count", "leader")).alias("b"), F.max("count").alias("most")).where(2 * F.col("most") >= least_overlap(F.col("n")))
-    first = verified(star.select(F.col("c").alias("a"), "b"), rows, docs, "star")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    kind = id_type(df, id_col)
+    docs = cut(rows.mapInArrow(_classes, T.StructType([field("id", kind), *(field(k, T.LongType()) for k in ("h", "n", "c"))])), "classes")
+    total = docs.agg(F.sum("n")).first()[0] or 0
+    sets = whole_sets(rows, docs, shared_counts(rows.select("text"), total))
+    prefix = prefixes(sets)
+    best = cut(leaders(prefix), "leaders")
+    star = best.where(F.col("c") != F.col("b")).where(may_link("n", "s", "n_b", "s_b")).select(F.col("c").alias("a"), "b")
+    first = cut(verify(star, sets), "star-links")
     comps = components(first, "star-components")
-    second = verified(cross_pairs(shared, comps), rows, docs, "cross")
+    member = cut(blocks_of(best, comps), "members")
+    pairs = cross_pairs(prefix, member, sets)
+    second = cut(verify(pairs, sets), "cross-links")
     if not second.isEmpty():
+        drop(comps)
         comps = components(first.unionByName(second), "components")
-    named = reps.join(comps, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "least")
+    drop(sets, prefix, best, first, member, pairs, second)
+    reps = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
+    named = reps.join(comps, "c").select("c", "comp", "least")
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "comp").select("c", "component_id")
+    by_class = reps.join(named.join(least, "comp").select("c", "component_id"), "c", "left").select("c", F.coalesce("component_id", "least").alias("component_id"))
     out = docs.where("n > 0").join(by_class, "c").select("id", "n", "component_id").unionByName(docs.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    kind = df.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
-
-
-def _sets_of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, set) of each row whose text is of class c (rows of one id may differ in text)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            found = [(c, s.tobytes()) for c, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True) if class_key(s) == c]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=SETS.names)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, with their columns, that have the least id of their component, one row of each id and text; rows
     without an id stay."""
     joined = jaccard_join(df, id_col, text_col)
-    keep = joined.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    rows = df.join(keep, F.col(id_col) == F.col("_keep")).drop("_keep").dropDuplicates([id_col, text_col])
+    keep = joined.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    rows = df.join(keep, id_col, "left_semi").dropDuplicates([id_col, text_col])
     return rows.unionByName(df.where(F.col(id_col).isNull()))
 
 

@@ -83,7 +83,22 @@ def brute_join(rows):
     return Counter((i, len(s), least.get(root(k))) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-@pytest.mark.parametrize("rows", [[r for r in ODD if r[0] is not None], corpus(4, 80), []])
+def family(seed, n, edits, words=200, first=0):
+    """Near copies of one text, each with up to `edits` words changed at random."""
+    rng = random.Random(seed)
+    base, rows = [f"b{i}" for i in range(words)], []
+    for i in range(first, first + n):
+        text = list(base)
+        for _ in range(rng.randrange(0, edits + 1)):
+            text[rng.randrange(len(text))] = f"e{i}x{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+NAMELESS = [(None, " ".join(f"b{i}" for i in range(60))), (3, " ".join(f"b{i}" for i in range(4, 64))), (2, " ".join(f"b{i}" for i in range(-4, 56))), (None, "alone " * 9), (None, "alone " * 8)]
+
+
+@pytest.mark.parametrize("rows", [ODD, NAMELESS, corpus(4, 80), family(11, 120, 12, 120), []])
 def test_join_matches_brute_force(spark, rows):
     assert Counter(map(tuple, ngram_join.jaccard_join(docs(spark, rows)).collect())) == brute_join(rows)
 
@@ -100,14 +115,32 @@ def test_large_cluster_of_near_copies_is_one_component(spark):
     assert Counter(map(tuple, ngram_join.jaccard_join(docs(spark, rows)).collect())) == brute_join(rows)
 
 
-def test_heavy_tokens_and_small_groups_stay_exact(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HEAVY", 2)
-    monkeypatch.setattr(ngram_join, "BLOCK", 2)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
-    rows = corpus(7, 60)
+@pytest.mark.parametrize("rows", [corpus(7, 60), [*family(12, 60, 14, 100), *corpus(13, 40)]])
+def test_small_parts_and_blocks_stay_exact(spark, monkeypatch, rows):
+    for name, value in (("BLOCK", 2), ("BROADCAST_ROWS", 0), ("PART_TOKENS", 50), ("CHUNK_TOKENS", 100), ("SLICE", 7)):
+        monkeypatch.setattr(ngram_join, name, value)
     assert Counter(map(tuple, ngram_join.jaccard_join(docs(spark, rows)).collect())) == brute_join(rows)
 
 
+def test_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate((rng.choice(a, rng.integers(0, len(a) + 1), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 300), dtype=np.uint64))))
+        if len(b):
+            assert ngram_join.differ(ngram_join.sketch(a), ngram_join.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_one_of_each_with_clashing_names(spark):
+    rows = [*corpus(14, 40), (None, "no id"), (None, "no id")]
+    table = docs(spark, rows)
+    for name in ("_keep", "component_id", "n", "n_shingles", "rep", "text2"):
+        table = table.withColumn(name, table["score"])
+    heads = {i for i, _, c in brute_join(rows) if i == c and i is not None}
+    kept = ngram_join.one_of_each(table)
+    assert kept.columns == table.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([*map(str, heads), "None", "None"])
+
+
 def brute_hits(rows, items, n=10):
     words = decontaminate.words_of
     windows = {}
