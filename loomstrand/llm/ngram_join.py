@@ -32,6 +32,7 @@ from loomstrand.llm.common import batch_words, cut, drop, field, id_type, mix, t
 
 BLOCK = 128  # members of a block, about
 PART_TOKENS = 1 << 20  # tokens of a part of the first count, about: what one task holds at a time
+BUCKET_CLASSES = 1 << 13  # classes whose counts one task sums at a time, about
 CHUNK_TOKENS = 1 << 20  # tokens that a task settles among its own documents at a time, about
 BROADCAST_ROWS = 200_000  # row handles (24 bytes each) up to which texts are picked by a broadcast; beyond, by a shuffle
 SLICE = 256  # texts that stand in Python at a time
@@ -64,6 +65,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 TOKENS = T.StructType([field("token", T.LongType()), field("c", T.LongType()), field("n", T.LongType())])
 DEALT = T.StructType([field("part", T.IntegerType()), *(field(k, T.BinaryType()) for k in ("classes", "counts", "tokens", "several"))])
+BUCKETS = T.StructType([field("bucket", T.IntegerType()), field("classes", T.BinaryType()), field("counts", T.BinaryType())])
 COUNTS = T.StructType([field("c", T.LongType()), field("s", T.LongType())])
 SETS = T.StructType([field("c", T.LongType()), field("tokens", T.BinaryType())])
 SKETCHES = T.StructType([field("c", T.LongType()), field("bits", T.BinaryType())])
@@ -140,8 +142,8 @@ def _deal(parts: int):
     return run
 
 
-def _shared(held: list[tuple[bytes, ...]]) -> pa.RecordBatch | None:
-    """Of one part, how many tokens of each class another class has."""
+def _shared(held: list[tuple[bytes, ...]], buckets: int) -> pa.RecordBatch:
+    """Of one part, how many tokens of each class another class has, by bucket of classes."""
     names, counts, tokens, several = (np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in enumerate(("<i8", "<u4", "<u4", "<u4")))
     settled = np.concatenate([np.full(len(x[1]) // 4, not x[2] and not x[3]) for x in held])
     owner = np.repeat(np.flatnonzero(~settled), counts[~settled])
@@ -153,31 +155,52 @@ def _shared(held: list[tuple[bytes, ...]]) -> pa.RecordBatch | None:
         of = names[owner]
         shared = (np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)) | np.isin(tokens[start], several)
         number += np.bincount(owner[np.repeat(shared, np.diff(np.append(start, len(tokens))))], minlength=len(names))
-    some = number > 0
-    return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(number[some])], names=COUNTS.names) if some.any() else None
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_shared() of each part; rows come in the order of parts."""
-    part, held = None, []
+    some = np.flatnonzero(number)
+    bucket = (mix(names[some].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    some, bucket = some[order], bucket[order]
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(some)] if len(some) else [0]
+    cuts = list(zip(edges, edges[1:], strict=False))
+    names, number = names[some].astype("<i8"), number[some].astype("<u4")
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), *(pa.array([v[a:b].tobytes() for a, b in cuts], pa.binary()) for v in (names, number))], names=BUCKETS.names)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows, without the first column, of each of its values; rows come in its order."""
+    last, held = None, []
     for batch in batches:
-        for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if p != part and held:
-                if (out := _shared(held)) is not None:
-                    yield out
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != last and held:
+                yield held
                 held = []
-            part = p
+            last = key
             held.append(tuple(row))
-    if held and (out := _shared(held)) is not None:
-        yield out
+    if held:
+        yield held
+
+
+def _meet(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches):
+            yield _shared(held, buckets)
+
+    return run
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each bucket's classes."""
+    for held in _groups(batches):
+        names, numbers = (np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in enumerate(("<i8", "<u4")))
+        classes, which = np.unique(names, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(np.bincount(which, numbers).astype(np.int64))], names=COUNTS.names)
 
 
-def shared_counts(texts: DataFrame, tokens: int) -> DataFrame:
+def shared_counts(texts: DataFrame, tokens: int, classes: int) -> DataFrame:
     """(c, s): of the classes of the texts, how many of their tokens another class has; never too few. (A collision of
     what is sent of tokens, or a class that several tasks met, makes it too many.)"""
-    parts = max(1, -(-tokens // PART_TOKENS))
+    parts, buckets = max(1, -(-tokens // PART_TOKENS)), max(1, -(-classes // BUCKET_CLASSES))
     dealt = texts.mapInArrow(_deal(parts), DEALT).repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_meet, COUNTS).groupBy("c").agg(F.sum("s").alias("s"))
+    return dealt.mapInArrow(_meet(buckets), BUCKETS).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_total, COUNTS)
 
 
 def _sets_of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +362,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kind = id_type(df, id_col)
     docs = cut(rows.mapInArrow(_classes, T.StructType([field("id", kind), *(field(k, T.LongType()) for k in ("h", "n", "c"))])), "classes")
-    total = docs.agg(F.sum("n")).first()[0] or 0
-    sets = whole_sets(rows, docs, shared_counts(rows.select("text"), total))
+    total, texts = docs.agg(F.sum("n"), F.count("*")).first()
+    sets = whole_sets(rows, docs, shared_counts(rows.select("text"), total or 0, texts))
     prefix = prefixes(sets)
     best = cut(leaders(prefix), "leaders")
     star = best.where(F.col("c") != F.col("b")).where(may_link("n", "s", "n_b", "s_b")).select(F.col("c").alias("a"), "b")

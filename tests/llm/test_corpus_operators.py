@@ -117,7 +117,7 @@ def test_large_cluster_of_near_copies_is_one_component(spark):
 
 @pytest.mark.parametrize("rows", [corpus(7, 60), [*family(12, 60, 14, 100), *corpus(13, 40)]])
 def test_small_parts_and_blocks_stay_exact(spark, monkeypatch, rows):
-    for name, value in (("BLOCK", 2), ("BROADCAST_ROWS", 0), ("PART_TOKENS", 50), ("CHUNK_TOKENS", 100), ("SLICE", 7)):
+    for name, value in (("BLOCK", 2), ("BROADCAST_ROWS", 0), ("PART_TOKENS", 50), ("BUCKET_CLASSES", 5), ("CHUNK_TOKENS", 100), ("SLICE", 7)):
         monkeypatch.setattr(ngram_join, name, value)
     assert Counter(map(tuple, ngram_join.jaccard_join(docs(spark, rows)).collect())) == brute_join(rows)
 
