@@ -27,20 +27,19 @@ MARK = "<|endoftext|>"
 class Encoder:
     """Encodes texts by the library, each different word once for as long as the cache holds it.
 
-    Both kinds of vocabulary files used here cut a text, whatever stands around, before a single space or line end, after
-    a line end, and between a letter and a comma or full stop. So the ids of a text without adjoining white space are
-    those of its parts in order. A full cache takes no more words, and is emptied once too few words are found in it.
+    Both kinds of vocabulary files used here cut a text, whatever stands around, before a single space or line end, and
+    after a line end. So the ids of a text without adjoining white space are those of its parts in order. A full cache
+    takes no more words, and is emptied once too few words are found in it.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.cache: dict[str, bytes] = {}  # ids of ' word', by word
-        self.parts: dict[str, bytes] = {}  # ids of what words are made of, as written
+        self.parts: dict[str, bytes] = {}  # ids of lines of words that hold line ends, as written
         self.mark = self.tokenizer.token_to_id(MARK)
-        self.fixed = {c: self._encode([c])[0] for c in ".,\n"}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -50,7 +49,7 @@ class Encoder:
         text before anything else is done to it (no part here holds one)."""
         if self.mark is None:
             return self._encode(parts)
-        rows = [parts[k : k + 256] for k in range(0, len(parts), 256)]
+        rows = [parts[k : k + 64] for k in range(0, len(parts), 64)]
         out: list[bytes] = []
         for row, e in zip(rows, self.tokenizer.encode_batch_fast([MARK.join(row) for row in rows], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -59,26 +58,11 @@ class Encoder:
             out += [data[a:b] for a, b in zip([0, *(x + 4 for x in at)], [*at, len(data)], strict=True)] if len(at) == len(row) - 1 else self._encode(row)
         return out
 
-    @staticmethod
-    def _cut(word: str) -> list[str]:
-        """A word's parts: lines, and a comma or full stop after a letter."""
-        out: list[str] = []
-        for k, line in enumerate(word.split("\n")):
-            if k:
-                out.append("\n")
-            if len(line) > 1 and line[-1] in ".," and line[-2].isalpha():
-                out += (line[:-1], line[-1])
-            elif line:
-                out.append(line)
-        return out
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        cut = [self._cut(w) for w in words]
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """The ids of words with line ends in them, whose lines are encoded each once for as long as they are remembered."""
+        cut = [re.split("(\n)", w) for w in words]
         if len(self.parts) > self.most:
             self.parts.clear()
-            self.parts.update(self.fixed)
-        elif not self.parts:
-            self.parts.update(self.fixed)
         new = list(set(chain.from_iterable(cut)).difference(self.parts))
         self.parts.update(zip(new, self._encode_parts(new), strict=True))
         get = self.parts.__getitem__
@@ -92,17 +76,19 @@ class Encoder:
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
             out[k] = ids
         parts = {k: t.split(" ") for k, (t, bad) in enumerate(zip(texts, unsafe, strict=True)) if t and not bad}
-        firsts = self._words([p[0] for p in parts.values()])
+        firsts = self._lines([p[0] for p in parts.values()])
         words = set(chain.from_iterable(p[1:] for p in parts.values()))
         if len(self.cache) >= self.most and 2 * len(words.difference(self.cache)) > len(words):
             self.cache.clear()
-        new = list(words.difference(self.cache))
-        self.cache.update(zip(new, self._words([f" {w}" for w in new]), strict=True))
+        new = words.difference(self.cache)
+        broken = [w for w in new if "\n" in w]
+        plain = list(new.difference(broken))
+        self.cache.update(zip(plain, self._encode_parts([f" {w}" for w in plain]), strict=True))
+        self.cache.update(zip(broken, self._lines([f" {w}" for w in broken]), strict=True))
         get = self.cache.__getitem__
         for (k, p), first in zip(parts.items(), firsts, strict=True):
             out[k] = first + b"".join(map(get, p[1:]))
-        drop = new if len(self.cache) > self.most else [w for w in new if "\n" in w]  # such are seldom met again
-        for w in drop:
+        for w in new if len(self.cache) > self.most else broken:  # words with line ends are seldom met again
             del self.cache[w]
         return out
 

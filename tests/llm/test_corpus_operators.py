@@ -183,6 +183,55 @@ def test_words_encode_as_whole_texts_do():
         assert got == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_letter_before_a_mark_encodes_as_in_whole_texts():
+    letters = [c for c in map(chr, range(0x30000)) if c.isalpha()]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = tokens.Encoder(tokens.tokenizer_path(name))
+        for mark in ".,\n":
+            texts = [" ".join(f"a{c}{mark}" for c in letters[k : k + 64]) for k in range(0, len(letters), 64)]
+            assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def brute_ids(rows, name, end):
+    """(id, ids with the end id) of each row by the library alone."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.tokenizer_path(name))
+    return [(i, [*t.encode(x or "", add_special_tokens=False).ids, end]) for i, x in rows]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+TURKISH = [(20, "İ. İ, Aİ. Bİ, İ.İ"), (21, "DİĞERLERİ. VE İ,\nİ.")]
+
+
+def test_record_query_matches_the_library(spark, tmp_path):
+    for rows in ([r for r in [*ODD, *TURKISH] if r[0] is not None and r[0] != 9], [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]):
+        docs(spark, rows).repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        want, at = [], 0
+        for i, ids in sorted(brute_ids(rows, "word_bpe_49k.json", 1)):
+            want.append((i, at, len(ids), crc(ids)))
+            at += len(ids)
+        got = token_records.op9_token_records(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_packing_query_matches_the_library(spark, tmp_path):
+    rows = [r for r in [*ODD, *TURKISH] if r[0] is not None and r[0] != 9]
+    docs(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op10_best_fit_packing(spark, str(tmp_path)).collect()
+    pieces = {(r["doc_id"], r["piece"]): r for r in got}
+    assert len(pieces) == len(got)
+    for i, ids in brute_ids(rows, "byte_bpe_50k.json", 2):
+        mine = [pieces.pop((i, k)) for k in range(max(1, -(-len(ids) // 1024)))]
+        assert [r["start"] for r in mine] == [sum(x["length"] for x in mine[:k]) for k in range(len(mine))] and sum(r["length"] for r in mine) == len(ids)
+        assert [r["ids_crc32"] for r in mine] == [crc(ids[r["start"] : r["start"] + r["length"]]) for r in mine]
+        assert all(r["length"] == 1024 for r in mine[1:])
+    assert not pieces
+
+
 def test_records_round_trip_and_damage(tmp_path):
     for key, ids in ((5, [1, 2, 70_000]), (None, []), ("név", [1])):
         data = token_records.serialize(key, np.array(ids, "<u4").tobytes())
