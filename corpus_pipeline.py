@@ -11,7 +11,7 @@ from loomstrand.llm.common import crc_mod, cut, table
 from loomstrand.llm.decontaminate import decontaminate
 from loomstrand.llm.ngram_join import one_of_each
 from loomstrand.llm.packing import pack_documents
-from loomstrand.llm.pii import masked
+from loomstrand.llm.pii import DEMO_KEY, masked
 from loomstrand.llm.tokens import tokenizer_path
 from loomstrand.llm.toxicity import learn_grammar, without_toxic
 
@@ -34,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced; n_chars follows the text where that changed."""
-    return masked(docs, length_col="n_chars")
+    return masked(docs, key=DEMO_KEY, length_col="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
