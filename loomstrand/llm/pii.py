@@ -9,14 +9,15 @@ by text is then wrong there, that by the places of `pii` isn't.
 Phones are found in international writing (+ or 00 and a country), with an area code in brackets, as NNN-NNN-NNNN, and in
 national writing with a leading 0 and 9 to 12 digits. Dates are found in digits with a year of four, also before the
 time of an ISO time stamp. Not covered: national numbers without a leading 0 in other groups (as Spanish 612 34 56 78),
-phones of under 7 digits or with letters; numbers of 13 and more digits without + or brackets, as an 0033 number, count as
-accounts; dates with a month's name, with a year of two digits or without separators; ranges such as 2021-01-02/03.
+phones of under 7 digits or with letters; numbers of 13 and more digits without a card's check digit; dates with a month's name, with a year of two digits or without separators; ranges such as 2021-01-02/03.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
@@ -29,8 +30,13 @@ from loomstrand.llm.common import field, id_type, map_rows, table
 
 #: The key of the registered query; a deployment passes its own.
 DEMO_KEY = b"loomstrand demonstration key"
-KINDS = ("email", "iban", "card", "account", "ssn", "ip", "phone", "date")
+KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "date")
 ROUNDS = 8
+#: Characters that one permutation moves at most; longer values go in chunks.
+CHUNK = 64
+
+# The country codes of two digits; those that begin with 1 or 7 have one, all others three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 
 def feistel(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -42,7 +48,7 @@ def feistel(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> in
     def f(k: int, r: int) -> int:
         out, block = b"", 0
         while len(out) < octets:
-            out += hmac.digest(key, b"%s|%d|%d|%d|%d" % (tweak.encode(), half, k, block, r), "sha256")
+            out += hmac.digest(key, b"%s|%d|%d|%d|" % (tweak.encode("utf-8", "surrogatepass"), half, block, r) + k.to_bytes(octets, "big"), "sha256")
             block += 1
         return int.from_bytes(out[:octets], "big") & mask
 
@@ -101,7 +107,16 @@ def move_date(day: date, key: bytes, back: bool = False) -> date:
 
 
 def move_mixed(text: str, key: bytes, tweak: str, back: bool = False) -> str:
-    """ASCII letters to letters of the same case and digits to digits, all at once; other characters stay."""
+    """ASCII letters to letters of the same case and digits to digits, in chunks of CHUNK characters, each under what
+    the one before became; other characters stay."""
+    out: list[str] = []
+    for at in range(0, len(text), CHUNK):
+        chunk, before = text[at : at + CHUNK], (text[at - CHUNK : at] if back else out[-1]) if at else ""
+        out.append(_move_chunk(chunk, key, f"{tweak}|{before}" if at else tweak, back))
+    return "".join(out)
+
+
+def _move_chunk(text: str, key: bytes, tweak: str, back: bool) -> str:
     radices = [(10 if c.isdigit() else 26) if c.isascii() and c.isalnum() else 1 for c in text]
     x, size = 0, 1
     for c, r in zip(text, radices, strict=True):
@@ -122,18 +137,37 @@ def refill(shape: str, chars: str) -> str:
     return "".join(next(it) if c.isascii() and c.isalnum() else c for c in shape)
 
 
-EMAIL = re.compile(r"[^\W_](?:[\w.%+-]*[\w%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*)(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
+#: What may stand left of an @ (from its beginning, so that a search is linear), and a domain right of it.
+LOCAL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@")
+DOMAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """The places of addresses: a letter or digit, then up to the @ what LOCAL has with no full stop last, then DOMAIN."""
+    found, end = [], 0
+    for m in LOCAL.finditer(text):
+        start, at = max(m.start(), end), m.end() - 1
+        while start < at and not text[start].isalnum():
+            start += 1
+        if start < at and text[at - 1] != "." and (domain := DOMAIN.match(text, m.end())):
+            end = domain.end()
+            found.append((start, end))
+    return found
+
+
+PHONE_FORMS = r"""(?<![\w.])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,12}(?:[ ./-][0-9]{2,12}){0,4}(?!\w)
+        |(?<![\w.])\([0-9]{2,5}\)[ ]?[./-]?[ ]?[0-9]{3,12}(?:[ .-][0-9]{2,9}){0,3}(?!\w)
+        |(?<![\w+])(?<![0-9][./-])0[0-9]{1,5}(?:[ ]?/[ ]?|[ .-])[0-9]{1,9}(?:[ .-][0-9]{2,9}){0,4}(?!\w)
+        |(?<![\w+])(?<![0-9][./-])0[1-9][0-9]{8,9}(?!\w)
+        |(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,4}(?!\w)|\+[0-9]{8,15}(?!\w)"""
+PHONE = re.compile(PHONE_FORMS, re.X)
 NUMBER = re.compile(
     r"""(?=[0-9A-Z+(])(?:(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
     |(?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})(?:(?=[Tt][0-9]{2}(?![0-9]))|(?=[Tt][0-9]{4}(?:[0-9]{2})?(?![0-9]))|(?![\w/-])))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<long>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))
-    |(?P<phone>(?<![\w.])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,12}(?:[ ./-][0-9]{2,12}){0,4}(?!\w)
-        |(?<![\w.])\([0-9]{2,5}\)[ ]?[./-]?[ ]?[0-9]{3,12}(?:[ .-][0-9]{2,9}){0,3}(?!\w)
-        |(?<![\w+])(?<![0-9][./-])0[0-9]{1,5}(?:[ ]?/[ ]?|[ .-])[0-9]{1,9}(?:[ .-][0-9]{2,9}){0,3}(?!\w)
-        |(?<![\w+])(?<![0-9][./-])0[1-9][0-9]{8,9}(?!\w)
-        |(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,4}(?!\w)|\+[0-9]{8,15}(?!\w)))""",
+    |(?P<phone>""" + PHONE_FORMS + "))",
     re.X,
 )
 
@@ -143,6 +177,12 @@ RUN = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 
 
+def apart(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether [start, end) meets none of the spans, which are sorted and meet none of each other."""
+    k = bisect_right(spans, (start, 1 << 62))
+    return (k == 0 or spans[k - 1][1] <= start) and (k == len(spans) or end <= spans[k][0])
+
+
 def cards(text: str, start: int, usual: bool = False) -> list[tuple[int, int]]:
     """The places of the cards in the run of groups at start: cuts at group boundaries, of 13 to 19 digits, with a right
     check digit. Of cuts that overlap, one group or a usual writing goes first, then the whole run, then the leftmost and
@@ -164,9 +204,9 @@ def cards(text: str, start: int, usual: bool = False) -> list[tuple[int, int]]:
                     found.append((rank, groups[i][0], -groups[j][1]))
     out: list[tuple[int, int]] = []
     for _, s, e in sorted(found):
-        if all(-e <= a or b <= s for a, b in out):
-            out.append((s, -e))
-    return sorted(out)
+        if apart(s, -e, out):
+            insort(out, (s, -e))
+    return out
 
 
 def _parts(text: str) -> tuple[str, date, str] | None:
@@ -211,28 +251,43 @@ def move_number(kind: str, text: str, key: bytes, back: bool = False) -> tuple[s
             return None
         return kind, refill(text, f"{walk(int(digits), 10**9, key, 'ssn', ssn_ok, back):09d}")
     if kind == "long":
-        if luhn_ok(digits):
-            body = f"{feistel(int(digits[:-1]), 10 ** (n - 1), key, 'card', back):0{n - 1}d}"
-            return "card", refill(text, body + luhn_digit(body))
-        x = walk(int(digits), 10**n, key, "account", lambda v: not cards(refill(text, f"{v:0{n}d}"), 0), back)
-        return "account", refill(text, f"{x:0{n}d}")
-    if text[0] == "0":  # a trunk prefix, or 00 and a country; what follows it stays other than 0, so that it reads so again
-        lead = re.match(r"00[1-9][0-9]{0,2}(?=[ .-])|0(?=[1-9])", text)
-        keep = lead[0] if lead else ""
-        rest = digits[len(keep) :]
-        if not keep or not (9 <= n <= 12 if keep == "0" else 7 <= len(rest) <= 14):
+        if not luhn_ok(digits):
+            return None
+        body = f"{feistel(int(digits[:-1]), 10 ** (n - 1), key, 'card', back):0{n - 1}d}"
+        return "card", refill(text, body + luhn_digit(body))
+    lead = ""  # what stands before the subscriber's number: a trunk prefix, or 00 or + and a country, and a trunk prefix in brackets
+    if text[0] == "0":
+        found = re.match(r"00[1-9][0-9]{0,2}(?=[ .-])|0(?=[1-9])", text)
+        lead = found[0] if found else ""
+        if not lead or not (9 <= n <= 12 if lead == "0" else 7 <= n - len(lead) <= 14):
+            return None
+    elif text[0] == "+":
+        lead = country_code(digits)
+        if not 7 <= n - len(lead) <= 14:
             return None
-        low = 10 ** (len(rest) - 1) if keep == "0" else 0
-        x = low + feistel(int(rest) - low, 10 ** len(rest) - low, key, f"national {keep}", back)
-        return "phone", refill(text, f"{keep}{x:0{len(rest)}d}")
-    lead = re.match(r"\+([0-9]{1,3})[ .(-]", text)
-    country = lead[1] if lead else ""
-    if not (7 <= n - len(country) <= 14 and (text[0] in "+(" or re.fullmatch(r"[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}", text))):
+        if re.match(r"\+[0-9]{1,3}[ .-]?\(0\)", text) and digits[len(lead)] == "0":
+            lead += "0"
+    elif not (7 <= n <= 14 and (text[0] == "(" or re.fullmatch(r"[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}", text))):
         return None
-    rest = digits[len(country) :]
-    fits = lambda v: text[0] in "+(" or not v < 10 ** (len(rest) - 1)
-    x = walk(int(rest), 10 ** len(rest), key, f"phone {country}", fits, back)
-    return "phone", refill(text, country + f"{x:0{len(rest)}d}")
+    elif text[0] == "(" and text[1] == "0" and digits[1] != "0":
+        lead = "0"
+    rest = digits[len(lead) :]
+    if text[0].isdigit() and not lead and rest[0] == "0":
+        return None
+    return "phone", refill(text, lead + move_subscriber(rest, key, back))
+
+
+def country_code(digits: str) -> str:
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3]
+
+
+def move_subscriber(number: str, key: bytes, back: bool = False) -> str:
+    """A number within its country: the same pseudonym however it is written and whether a country stands before it.
+    Numbers with and without a leading 0 stay among themselves."""
+    n, low = len(number), 10 ** (len(number) - 1)
+    x = int(number)
+    x = low + feistel(x - low, 9 * low, key, "phone", back) if x >= low else feistel(x, low, key, "phone 0", back) if low > 1 else x
+    return f"{x:0{n}d}"
 
 
 @lru_cache(maxsize=1 << 16)
@@ -243,27 +298,30 @@ def _moved(kind: str, text: str, key: bytes, back: bool) -> tuple[str, str] | No
 @lru_cache(maxsize=1 << 16)
 def move_email(text: str, key: bytes, back: bool = False) -> str:
     """Local part and domain move apart from each other, so that people of one domain stay together; the last label
-    stays. Letters outside ASCII become keyed ASCII letters (those do not come back)."""
-    text = "".join(c if c.isascii() else chr(97 + feistel(ord(c), 0x110000, key, "letter") % 26) for c in text)
+    stays. Letters outside ASCII become keyed ASCII letters, under a digest of the whole local part, so that names that
+    differ in such letters alone go different ways (those do not come back)."""
     local, domain = text.split("@")
+    tweak = "local"
+    if not local.isascii():
+        tweak = "local " + hmac.digest(key, local.encode("utf-8", "surrogatepass"), "sha256").hex()
+        local = "".join(c if c.isascii() else chr(97 + feistel(ord(c), 0x110000, key, "letter") % 26) for c in local)
     head, _, top = domain.rpartition(".")
-    return f"{move_mixed(local, key, 'local', back)}@{move_mixed(head, key, 'domain', back)}.{top}"
+    return f"{move_mixed(local, key, tweak, back)}@{move_mixed(head, key, 'domain', back)}.{top}"
 
 
 def pseudonymise_text(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[dict]]:
     """The text with its values replaced, and what was replaced: kind, start, end (in the old text), pseudonym."""
     if not text:
         return text, []
-    found = [("email", m.start(), m.end(), move_email(m[0], key, back)) for m in EMAIL.finditer(text)] if "@" in text else []
-    taken = [(s, e) for _, s, e, _ in found]
-    apart = lambda s, e, spans: all(b <= s or e <= a for a, b in spans)
-    at, known, ahead = 0, {"long": 0, "phone": 0}, []  # how far runs were searched for cards; those ahead bound the search
+    taken = emails(text) if "@" in text else []
+    found = [("email", s, e, move_email(text[s:e], key, back)) for s, e in taken]
+    at, known, ahead = 0, {"long": 0, "phone": 0}, deque()  # how far runs were searched for cards; those ahead bound the search
     while True:
         m = NUMBER.search(text, at, ahead[0][0] if ahead else len(text))
         if not m and not ahead:
             break
         if not m:
-            at, end = ahead.pop(0)
+            at, end = ahead.popleft()
             found.append(("card", at, end, _moved("long", text[at:end], key, back)[1]))
             at = end
             continue
@@ -274,10 +332,12 @@ def pseudonymise_text(text: str | None, key: bytes, back: bool = False) -> tuple
                     break
                 known[kind] = run.end()
                 if run.end() - run.start() >= 13:
-                    ahead = sorted(ahead + [x for x in cards(text, run.start(), usual=kind == "phone") if apart(*x, taken + ahead)])
+                    ahead = deque(sorted({*ahead, *(x for x in cards(text, run.start(), usual=kind == "phone") if apart(*x, taken) and apart(*x, list(ahead)))}))
             if ahead:
                 continue
         made = _moved(kind, m[0], key, back) if apart(m.start(), m.end(), taken) else None
+        if kind == "long" and not made and (phone := PHONE.match(text, m.start())) and apart(phone.start(), phone.end(), taken):
+            m, made = phone, _moved("phone", phone[0], key, back)
         if made:
             found.append((made[0], m.start(), m.end(), made[1]))
             at = m.end()
@@ -311,17 +371,18 @@ def _replaced(df: DataFrame, id_col: str, text_col: str, key: bytes, keep: tuple
     return map_rows(rows, ["_id", "_text", "_keep"], schema, each)
 
 
-def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEMO_KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: bytes) -> DataFrame:
     """One row per input row: id, text with every value replaced, and pii (array of kind, start, end, pseudonym; places
     in the old text, in code points).
 
     Null and empty texts stay as they are and hold nothing. Repeated rows give repeated results, an empty table none;
-    other columns are ignored. Texts are searched whole, a few hundred rows at a time.
+    other columns are ignored. Texts are searched whole, in time linear in their length, a few hundred rows at a time;
+    a value of any length moves in chunks. The key has no default; op2 uses one for demonstration.
     """
     return _replaced(df, id_col, text_col, key).select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "pii")
 
 
-def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEMO_KEY, length_col: str | None = None) -> DataFrame:
+def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: bytes, length_col: str | None = None) -> DataFrame:
     """The rows of df, with all their columns, and every value in their texts replaced; length_col, if given and there,
     follows the text where that changed."""
     rest = tuple(c for c in df.columns if c not in (id_col, text_col))
@@ -335,7 +396,7 @@ def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: b
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, the number of values of each kind, and their places."""
-    found = pseudonymise(table(spark, sf_dir, "documents"))
+    found = pseudonymise(table(spark, sf_dir, "documents"), key=DEMO_KEY)
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     where = F.array_join(F.transform("pii", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", "text", *(count(k) for k in KINDS), where.alias("spans"))
