@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,46 +38,54 @@ def raw_slopes(cov: np.ndarray, q: float, w: int = SLOPE_BINS) -> list[Slope]:
     return sorted(found)
 
 
+def _runs(marks: np.ndarray, base: int, kind: int) -> list[Slope]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8)))
+    return [(base + int(a), kind, base + int(b) - 1) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
+
+
+def _resolved(slope: Slope, other: Slope, cov: np.ndarray, low: np.ndarray) -> list[Slope]:
+    """What a slope that reaches into the next one becomes: its own part of the overlap is looked at anew, an up slope
+    against what is ahead of each bin within the part, a down slope against what is behind."""
+    first, kind, last = slope
+    if kind:
+        stop = min(last, other[2])
+        ahead = np.maximum.accumulate(cov[first + 1 : stop + 1][::-1])[::-1]
+        return [(stop, 1, last), *_runs(low[first:stop] < ahead, first, 1)]
+    begin = max(first, other[0])
+    behind = np.maximum.accumulate(cov[begin : last + 1])
+    return [(first, 0, begin), *_runs(np.concatenate(([False], behind[:-1] > low[begin + 1 : last + 1])), begin, 0)]
+
+
+def separated(slopes: list[Slope], cov: np.ndarray, low: np.ndarray) -> list[Slope]:
+    """Slopes in order, none reaching into the next one. All that a slope is resolved into begins where it does or
+    later, so the slopes before it stay as they are, and one sweep over a heap settles all."""
+    heap, out = list(set(slopes)), []
+    heapify(heap)
+    while heap:
+        slope = heappop(heap)
+        while heap and heap[0] == slope:
+            heappop(heap)
+        if heap and slope[2] >= heap[0][0] + (slope[1] == 0):  # a down slope may touch the next one
+            parts = _resolved(slope, heap[0], cov, low)
+            if slope not in parts:
+                for part in parts:
+                    heappush(heap, part)
+                continue
+        out.append(slope)
+    return out
+
+
 def find_slopes(cov: np.ndarray, q: float) -> list[Slope]:
     """Slopes of a coverage histogram, separated where they overlap and narrowed where an up slope meets a down slope."""
-    slopes = raw_slopes(cov, q)
     low = np.minimum(cov * q, CAP)
-    settled = False
-    while not settled:
-        settled = True
-        slopes.sort()
-        for i in range(len(slopes) - 1):
-            (f1, t1, l1), (f2, _, l2) = slopes[i], slopes[i + 1]
-            if l1 < f2 or (t1 == 0 and l1 == f2):
-                continue
-            if t1 == 1:
-                stop = min(l1, l2)
-                ahead = np.maximum.accumulate(cov[f1 + 1 : stop + 1][::-1])[::-1]
-                marks = low[f1:stop] < ahead
-                kept = (stop, 1, l1)
-                base, kind = f1, 1
-            else:
-                begin = max(f1, f2)
-                behind = np.maximum.accumulate(cov[begin : l1 + 1])
-                marks = np.concatenate(([False], behind[:-1] > low[begin + 1 : l1 + 1]))
-                kept = (f1, 0, begin)
-                base, kind = begin, 0
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8)))
-            slopes[i] = kept
-            slopes += [(base + int(a), kind, base + int(b) - 1) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
-            slopes = sorted(set(slopes))
-            settled = False
-            break
-        if not settled and len(slopes) > 4 * len(cov) + 8:
-            break
-    for i in range(len(slopes) - 1):
-        (f1, t1, l1), (f2, t2, l2) = slopes[i], slopes[i + 1]
-        if t1 == 1 and t2 == 0 and 1 < f2 - l1 <= SLOPE_BINS:
-            peak = cov[l1 + 1 : f2].max()
-            up = np.flatnonzero(low[f1 : l1 + 1] < peak)
-            down = np.flatnonzero(low[f2 : l2 + 1] < peak)
-            slopes[i] = (f1, 1, f1 + int(up[-1]) if len(up) else f1)
-            slopes[i + 1] = (f2 + int(down[0]) if len(down) else l2, 0, l2)
+    slopes = separated(raw_slopes(cov, q), cov, low)
+    for i, (up, down) in enumerate(zip(slopes, slopes[1:], strict=False)):
+        up = slopes[i]
+        if (up[1], down[1]) == (1, 0) and 1 < down[0] - up[2] <= SLOPE_BINS:
+            under = low < cov[up[2] + 1 : down[0]].max()
+            rises, falls = np.flatnonzero(under[up[0] : up[2] + 1]), np.flatnonzero(under[down[0] : down[2] + 1])
+            slopes[i] = up[0], 1, up[0] + int(rises[-1] if len(rises) else 0)
+            slopes[i + 1] = int(down[0] + falls[0] if len(falls) else down[2]), 0, down[2]
     return slopes
 
 
@@ -97,18 +107,12 @@ def chimeric_regions(cov: np.ndarray) -> list[tuple[int, int]]:
 def cut_chimera(cov: np.ndarray, begin: int, end: int, regions: list[tuple[int, int]], median: int) -> tuple[int, int, bool, bool, list[tuple[int, int]]]:
     """(begin, end, invalid, chimeric, unresolved): the longest stretch between regions that fall under a 1.82th of the
     global median; the other regions stay unresolved."""
-    best, last, left = (0, 0), begin, []
-    for first, second in regions:
-        if begin > first or end < second:
-            continue
-        if (np.minimum(cov[first : second + 1] * 1.82, CAP) <= median).any():
-            if first - last > best[1] - best[0]:
-                best = (last, first)
-            last = second
-        else:
-            left.append((first, second))
-    if end - last > best[1] - best[0]:
-        best = (last, end)
+    within = [r for r in regions if begin <= r[0] and r[1] <= end]
+    low = np.minimum(cov * 1.82, CAP) <= median
+    falls = [bool(low[a : b + 1].any()) for a, b in within]
+    edges = [begin, *chain.from_iterable(compress(within, falls)), end]
+    best = max(zip(edges[0::2], edges[1::2], strict=True), key=lambda piece: piece[1] - piece[0])
+    left = [r for r, down in zip(within, falls, strict=True) if not down]
     changed = best != (begin, end)
     if best[1] - best[0] < MIN_REGION_BINS:
         return begin, end, True, changed, left
@@ -117,26 +121,22 @@ def cut_chimera(cov: np.ndarray, begin: int, end: int, regions: list[tuple[int,
 
 def repetitive_regions(cov: np.ndarray, begin: int, end: int, median: int, marked: list[int]) -> list[tuple[int, int]]:
     """Regions of frequent k-mers and of coverage peaks between an up and a later down slope, merged and clipped."""
-    found, cluster = [], []
-    for b in [*sorted(set(marked)), None]:
-        if cluster and (b is None or b - cluster[-1] > CLUSTER_GAP):
-            if len(cluster) > CLUSTER_SIZE:
-                found.append((cluster[0], cluster[-1]))
-            cluster = []
-        if b is not None:
-            cluster.append(b)
-    slopes = find_slopes(cov, 1.42)
-    high = int(min(1.42 * median, CAP))
-    for i, (f1, t1, l1) in enumerate(slopes):
-        if t1 == 0:
-            continue
-        for f2, t2, l2 in slopes[i + 1 :]:
-            if t2 == 1 or (f2 + l2) // 2 - (f1 + l1) // 2 > 0.84 * (end - begin):
-                continue
-            inner = cov[l1 + 1 : f2]
-            peak = int(min(1.42 * max(int(cov[l1]), int(cov[f2])), CAP))
-            if len(inner) and (inner > peak).any() and (inner > high).sum() >= 0.9 * (f2 - l1):
-                found.append((int(l1 - 0.336 * (l1 - f1)), int(f2 + 0.336 * (l2 - f2))))
+    bins = np.unique(np.array(marked, np.int64))
+    clusters = np.split(bins, np.flatnonzero(np.diff(bins) > CLUSTER_GAP) + 1)
+    found = [(int(c[0]), int(c[-1])) for c in clusters if len(c) > CLUSTER_SIZE]
+
+    first, kind, last = np.array(find_slopes(cov, 1.42), np.int64).reshape(-1, 3).T
+    place = np.arange(len(first))
+    up, down = np.nonzero((kind[:, None] == 1) & (kind[None, :] == 0) & (place[:, None] < place[None, :]))
+    near = (first[down] + last[down]) // 2 - (first[up] + last[up]) // 2 <= 0.84 * (end - begin)
+    above = np.concatenate(([0], np.cumsum(cov > int(min(1.42 * median, CAP)))))
+    inner = np.maximum(first[down] - last[up] - 1, 0)
+    high = np.where(inner > 0, above[np.maximum(first[down], last[up] + 1)] - above[last[up] + 1], 0)
+    peaks = near & (inner > 0) & (high >= 0.9 * (first[down] - last[up]))
+    for u, d in zip(up[peaks], down[peaks], strict=True):
+        edge = int(min(1.42 * max(int(cov[last[u]]), int(cov[first[d]])), CAP))
+        if cov[last[u] + 1 : first[d]].max() > edge:
+            found.append((int(last[u] - 0.336 * (last[u] - first[u])), int(first[d] + 0.336 * (last[d] - first[d]))))
     return [(max(begin, a), min(end, b)) for a, b in merged(found)]
 
 

@@ -153,7 +153,7 @@ def resolve_chimeric_sequences(piles: DataFrame, runs: DataFrame, overlaps: Data
     return _mark(piles, inner, "is_contained"), O.without_reads(clipped.select(*O.COLUMNS), inner)
 
 
-def find_overlaps_and_repetitive_regions(reads: DataFrame, piles: DataFrame, config: OverlapConfig = OverlapConfig(), break_ties: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def find_overlaps_and_repetitive_regions(reads: DataFrame, piles: DataFrame, config: OverlapConfig = OverlapConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(overlaps, piles, marks): valid reads overlapped anew, dovetails only, the longest of each pair; marks are the
     bins of frequent k-mers that are not of low complexity."""
     valid = reads.join(piles.where("not is_invalid").select("read_id"), "read_id", "left_semi")
@@ -243,25 +243,21 @@ def remove_tips_and_bubbles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFra
             return R.split(rows)
 
 
-def remove_long_edges(nodes: DataFrame, edges: DataFrame, rounds: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Unitigs but for 42 nodes beside junctions, drawn `rounds` times; edges over twice as long as a sibling go; then
-    tips and bubbles, and plasmids that duplicate nothing are kept as unitigs."""
-    rows = _keep("unitigs-42", R.create_unitigs(_component_rows(nodes, edges), 42))
-    nodes, edges = R.split(rows)
+def remove_long_edges(nodes: DataFrame, edges: DataFrame, rounds: int = 16, min_bases: int = R.MIN_UNITIG_BASES) -> tuple[DataFrame, DataFrame]:
+    """Unitigs but for 42 nodes at each end of a path, drawn `rounds` times from different beginnings; after each drawing
+    edges over twice as long as a sibling go, and then tips. Without a fork no drawing can mark an edge. Bubbles go last."""
+    nodes, edges = R.split(_keep("unitigs-42", R.create_unitigs(_component_rows(nodes, edges), 42, min_bases)))
     for k in range(rounds):
-        if R.split(rows)[1].isEmpty():
+        if edges.groupBy("tail").count().where("count > 1").isEmpty():
             break
-        rows = _keep("layout", weighted(_component_rows(nodes, edges), k))
-        nodes, edges = R.split(rows)
-        gone = G.shared_copy(G.long_edges(edges), "long-edges")
-        if gone.isEmpty():
-            break
-        edges = _keep("edges", G.remove_edges(edges, gone))
+        nodes, edges = R.split(_keep("layout", weighted(_component_rows(nodes, edges), k)))
+        edges = _keep("edges", G.remove_edges(edges, G.long_edges(edges)))
+        nodes, edges = R.split(_keep("tips", R.tips(_component_rows(nodes, edges))))
     return remove_tips_and_bubbles(nodes, edges)
 
 
-def create_unitigs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return R.split(_keep("unitigs", R.create_unitigs(_component_rows(nodes, edges), 0)))
+def create_unitigs(nodes: DataFrame, edges: DataFrame, min_bases: int = R.MIN_UNITIG_BASES) -> tuple[DataFrame, DataFrame]:
+    return R.split(_keep("unitigs", R.create_unitigs(_component_rows(nodes, edges), 0, min_bases)))
 
 
 def salvage_plasmids(nodes: DataFrame, config: OverlapConfig = OverlapConfig()) -> DataFrame:
@@ -297,7 +293,7 @@ def construct(reads: DataFrame, config: Config = Config()) -> Assembly:
     piles, overlaps = trim_and_annotate_piles(piles, runs, overlaps)
     piles, overlaps = resolve_contained_reads(piles, overlaps, reads, config.overlap, config.break_ties)
     piles, _ = resolve_chimeric_sequences(piles, runs, overlaps, config.break_ties)
-    overlaps, piles, marks = find_overlaps_and_repetitive_regions(reads, piles, config.overlap, config.break_ties)
+    overlaps, piles, marks = find_overlaps_and_repetitive_regions(reads, piles, config.overlap)
     overlaps = resolve_repeat_induced_overlaps(overlaps, piles, runs, marks)
     nodes, edges = construct_assembly_graph(reads, piles, overlaps)
     return Assembly(-3, piles, nodes, edges)
@@ -305,7 +301,6 @@ def construct(reads: DataFrame, config: Config = Config()) -> Assembly:
 
 def assemble(reads: DataFrame, config: Config = Config()) -> Assembly:
     """All stages; with a checkpoint folder each complete stage is kept, and `resume` goes on after the last."""
-    R.MIN_UNITIG_BASES = config.min_unitig_size
     spark, state = reads.sparkSession, None
     if config.resume and config.checkpoints and (found := W.load_state(spark, config.checkpoints)):
         state = Assembly(found[0], **found[1])
@@ -316,7 +311,7 @@ def assemble(reads: DataFrame, config: Config = Config()) -> Assembly:
     if state.stage == -2:
         state = _store(Assembly(-1, state.piles, *remove_tips_and_bubbles(state.nodes, state.edges)), config)
     if state.stage == -1:
-        nodes, edges = create_unitigs(*remove_long_edges(state.nodes, state.edges, config.layout_rounds))
+        nodes, edges = create_unitigs(*remove_long_edges(state.nodes, state.edges, config.layout_rounds, config.min_unitig_size), config.min_unitig_size)
         state = _store(Assembly(0, state.piles, salvage_plasmids(nodes, config.overlap), edges), config)
     for done in range(state.stage, config.polish_rounds):
         state = _store(Assembly(done + 1, state.piles, polish(state.nodes, reads, 1, config.align), state.edges), config)

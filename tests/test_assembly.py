@@ -33,6 +33,61 @@ def test_circular_genome_comes_back_as_one_unitig(spark):
     assert any(s[:1000] in genome + genome for s in (seq, other))
 
 
+def test_unitig_size_reaches_the_workers(spark):
+    from loomstrand.operators import graph
+    from loomstrand.plans.assembly import create_unitigs
+
+    links = [(i, i + 1) for i in range(7)]
+    node_rows = [(i, f"n{i >> 1}", "ACGT" * 50, 1, False, False, 3, [f"n{i >> 1}"], []) for i in range(16)]
+    edge_rows = [(e.id, e.tail, e.head, e.length, 0.0) for e in edges(*links)]
+    node_table = spark.createDataFrame(node_rows, "id long, name string, seq string, count long, circular boolean, unitig boolean, coverage long, names array<string>, transitive array<long>")
+    edge_table = spark.createDataFrame(edge_rows, "id long, tail long, head long, length long, weight double")
+    for least, want in ((100, True), (9999, False)):
+        found = create_unitigs(node_table, edge_table, least)[0].collect()
+        assert len(found) == 2 and all(r["unitig"] is want and r["name"].startswith("Utg" if want else "Ctg") for r in found)
+    assert graph.graph_components(edge_table).count() == 8
+
+
+def test_both_ends_of_a_path_keep_their_nodes():
+    g = prune.Graph(nodes(12), edges(*((i, i + 1) for i in range(11))))
+    assert g.unitigs(2, 1000) == 1
+    assert sorted(n for n in g.nodes if n < 1000) == [0, 1, 2, 3, 20, 21, 22, 23] and g.nodes[1000].count == 8
+    assert sorted((e.tail, e.head) for e in g.edges.values() if e.tail < 3 or 1000 <= e.tail) == [(0, 2), (2, 1000), (1000, 20), (1001, 3)]
+
+
+def plain_separation(slopes_, cov, low):
+    """The rule as written: of the first two neighbours that overlap, the first is looked at anew; until none do."""
+    found = sorted(set(slopes_))
+    while True:
+        at = next((i for i, (a, b) in enumerate(zip(found, found[1:])) if a[2] > b[0] or a[2] == b[0] and a[1] == 1), None)
+        if at is None:
+            return found
+        (first, kind, last), (begin, _, end) = found[at], found[at + 1]
+        marks = []
+        if kind:
+            stop = min(last, end)
+            marks = [j for j in range(first, stop) if low[j] < max(cov[j + 1 : stop + 1])]
+            kept = (stop, 1, last)
+        else:
+            begin = max(first, begin)
+            marks = [j for j in range(begin + 1, last + 1) if max(cov[begin:j]) > low[j]]
+            kept = (first, 0, begin)
+        runs = []
+        for j in marks:
+            runs = [*runs[:-1], (runs[-1][0], kind, j)] if runs and runs[-1][2] == j - 1 else [*runs, (j, kind, j)]
+        found = sorted({*found[:at], kept, *runs, *found[at + 1 :]})
+
+
+def test_slopes_are_separated_as_the_rule_says():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        cov = np.repeat(rng.integers(0, 30, 40), 5) + rng.integers(0, 4, 200)
+        for q in (1.42, 1.82):
+            low = np.minimum(cov * q, slopes.CAP)
+            raw = slopes.raw_slopes(cov, q)
+            assert slopes.separated(raw, cov, low) == plain_separation(raw, cov, low)
+
+
 def test_minimizers_match_a_plain_model():
     rng = random.Random(1)
     seq = "".join(rng.choice("ACGT") for _ in range(400))
