@@ -116,23 +116,35 @@ class Languages:
         return self.codes[code_points(text.lower())]
 
     def phrases(self, texts: list[np.ndarray], piece: int = 512) -> np.ndarray:
-        """The phrases that each language (column) needs for each text (row), over whole texts in pieces that are
-        parsed side by side; a phrase ends where a piece does."""
-        owner, parts = [], []
+        """The phrases that each language (column) needs for each text (row).
+
+        Texts are parsed whole, in pieces side by side: first each piece as if a phrase began there, then again from the
+        state in which the piece before it really ended, up to the place where both parses are in one state, which most
+        reach soon; what lies beyond stays. A piece that never does hands its new end to the next one.
+        """
+        owner, parts, before = [], [], []
         for k, codes in enumerate(texts):
             for at in range(0, len(codes), piece):
+                before.append(len(parts) - 1 if at else -1)
                 owner.append(k)
                 parts.append(codes[at : at + piece])
         out = np.zeros((len(texts), len(self.tables)), np.int64)
         if not parts:
             return out
-        order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
-        owner_of = np.array(owner)[order]
-        grid = np.full((piece, len(parts)), PAD, self.codes.dtype)
+        order = np.argsort([-len(p) for p in parts], kind="stable")
+        column = np.empty(len(parts), np.int64)
+        column[order] = np.arange(len(parts))
         sizes = np.array([len(parts[k]) for k in order])
-        for column, k in enumerate(order):
-            grid[: sizes[column], column] = parts[k]
+        grid = np.full((piece, len(parts)), PAD, self.codes.dtype)
+        for c, k in enumerate(order):
+            grid[: sizes[c], c] = parts[k]
+        owner_of, prior = np.array(owner)[order], np.array(before)[order]
+        prior = np.where(prior >= 0, column[prior], -1)
+        closes = np.ones(len(parts), bool)  # the last piece of a text
+        closes[prior[prior >= 0]] = False
         active = [int(np.count_nonzero(sizes > t)) for t in range(int(sizes[0]))]
+        states, counts = (np.zeros((len(active), len(parts)), np.int32) for _ in range(2))
+        last = (sizes - 1, np.arange(len(parts)))
         for lang, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
             state = np.zeros(len(parts), np.int64)
             count = np.zeros(len(parts), np.int64)
@@ -140,7 +152,27 @@ class Languages:
                 made = self.step(table, state[:n], own[grid[t, :n]])
                 count[:n] += made >> 29
                 state[:n] = made & (ENDS - 1)
-            out[:, lang] = np.bincount(owner_of, count + (state > 0), len(texts))
+                states[t, :n], counts[t, :n] = state[:n], count[:n]
+            begun = np.zeros(len(parts), np.int64)
+            while True:
+                entry = np.where(prior >= 0, states[last][prior], 0)
+                todo = np.flatnonzero(entry != begun)
+                if not len(todo):
+                    break
+                begun[todo] = entry[todo]
+                state, count = entry[todo], np.zeros(len(todo), np.int64)
+                for t in range(len(active)):
+                    stay = sizes[todo] > t
+                    todo, state, count = todo[stay], state[stay], count[stay]
+                    if not len(todo):
+                        break
+                    made = self.step(table, state, own[grid[t, todo]])
+                    count, state = count + (made >> 29), made & (ENDS - 1)
+                    met = states[t, todo] == state
+                    counts[t:, todo[met]] += (count[met] - counts[t, todo[met]]).astype(np.int32)
+                    todo, state, count = todo[~met], state[~met], count[~met]
+                    states[t, todo], counts[t, todo] = state, count
+            out[:, lang] = np.bincount(owner_of, counts[last] + (closes & (states[last] > 0)), len(texts))
         return out
 
 

@@ -1,8 +1,11 @@
 """Secrets by fixed patterns and by a linear-chain conditional random field.
 
-The field tags the tokens of a text as begin, inside or outside of a secret, from the token's shape, its neighbours'
-shapes and a feature of the whole file, and the best tag sequence is decoded by Viterbi. It is trained on a bounded
-sample in which the patterns' values are the labels, and finds secrets whose surroundings or spelling the patterns miss.
+The field tags the tokens of a text as begin, inside or outside of a secret, from the token's shape, the shapes of its
+neighbours, neighbouring words and a feature of the whole file, and the best tag sequence is decoded by Viterbi. It is
+trained on a bounded sample of windows. Labels are the patterns' values and tokens that begin as issued keys do; so that
+the field does not learn the patterns themselves, each labelled window also comes with the pattern's trigger hidden:
+another name or none before the value, another sign between, a value of another alphabet; and with ordinary words in the
+value's place, as examples of what is none.
 
 Tokens become small numbers (shape signatures), so scoring is table look-up. Decoding is exact, and fast where text is
 ordinary: `Field.cuts` derives from the trained weights how far from any unusual token the tag is surely `outside`.
@@ -11,15 +14,19 @@ ordinary: `Field.cuts` derives from the trained weights how far from any unusual
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as Window_
 
-from loomstrand.llm.common import field, hash_sample, id_type, map_rows, table
+from loomstrand.llm.common import field, id_type, map_rows, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -31,7 +38,17 @@ TOKEN = re.compile(r"""[^\s"'`,;:(){}\[\]<>=|]+|["'`,;:(){}\[\]<>=|]""")
 KEYWORD = re.compile(r"pass(word|wd|phrase)?|pwd|secret|token|api_?key|key|credential|auth|bearer|private|access", re.I | re.A)
 #: Well-known beginnings of issued keys.
 PREFIX = re.compile(r"AKIA|ASIA|ghp_|gho_|sk-|sk_|pk_|xox[abp]-|eyJ|AIza|glpat-|-----BEGIN")
+ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:gh[op]_|[sp]k[-_]|xox[abp]-|AIza|glpat-)[A-Za-z0-9_-]{16,}")
 O, B, I = 0, 1, 2
+#: Names and signs that stand in for a pattern's trigger in training.
+OTHER_NAMES = "pwd passphrase credential credentials auth bearer authorization signature private_key access_key client_secret session_key signing_key".split()
+OTHER_SIGNS = [["="], [":"], ["-", ">"], ["->"], ["is"], ["was"], [":", "'"], ["=", '"'], [], [], []]
+ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]
+ISSUED_BY = "ghp_ gho_ sk_live_ sk-proj- pk_test_ xoxb- glpat- AIza".split()
+#: Labelled windows and their copies together, about, where there are few; at least COPIES of each.
+ENOUGH, COPIES = 1200, 5
+#: Letters by which a token stands in a training window.
+TOKEN_CHARS = 256
 
 
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -46,13 +63,14 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def value_spans(text: str) -> list[tuple[int, int]]:
-    """The secret values themselves, as labels for training."""
+    """The secret values themselves, as labels for training: those of the patterns, and tokens that begin as issued keys."""
     found = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    return found + [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 16] + [m.span() for m in HEX.finditer(text)]
+    found += [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 16] + [m.span() for m in HEX.finditer(text)]
+    return found + [m.span() for m in ISSUED.finditer(text)]
 
 
-def shape(token: str) -> tuple[str, ...]:
-    """The features of a token."""
+def shape(token: str, context: frozenset[str] = frozenset()) -> tuple[str, ...]:
+    """The features of a token; a word of the context is a feature itself."""
     if len(token) == 1 and not token.isalnum():
         return ("punct", f"is {token}" if token in "\"'`,;:(){}[]<>=|" else "other mark")
     n, digits = len(token), sum(c.isdigit() for c in token)
@@ -79,6 +97,8 @@ def shape(token: str) -> tuple[str, ...]:
         found.append("issued")
     if KEYWORD.search(token):
         found.append("keyword")
+    if n < 24 and (low := token.lower()) in context:
+        found.append(f"word {low}")
     return tuple(found)
 
 
@@ -94,6 +114,7 @@ class Field:
     near: np.ndarray  # offsets x features x tags
     file: np.ndarray  # file classes x tags
     pairs: np.ndarray  # tag before x tag
+    context: frozenset[str] = frozenset()  # words that are features
 
     def __post_init__(self):
         self.signatures: dict[tuple[str, ...], int] = {}
@@ -112,11 +133,12 @@ class Field:
     def signature(self, token: str) -> int:
         if token.isalpha():
             n = len(token)
-            key = (min(n, 64), token.isupper(), len(set(token)) if n >= 12 else 0, KEYWORD.search(token) is not None)
+            low = token.lower() if n < 24 else ""
+            key = (min(n, 64), token.isupper(), len(set(token)) if n >= 12 else 0, KEYWORD.search(token) is not None, low if low in self.context else "")
             if (k := self.words.get(key)) is None:
-                k = self.words[key] = self.number(shape(token))
+                k = self.words[key] = self.number(shape(token, self.context))
             return k
-        return self.number(shape(token))
+        return self.number(shape(token, self.context))
 
     def number(self, found: tuple[str, ...]) -> int:
         if (k := self.signatures.get(found)) is None:
@@ -225,34 +247,83 @@ def scan(texts: list[str | None], model: Field) -> list[tuple[list[tuple[str, in
     return out
 
 
-def _windows(text: str, radius: int = 16) -> list[tuple[list[str], list[int], int]]:
-    """(tokens, tags, file class) around every labelled value of a text, and of one stretch without any."""
+Window = tuple[list[str], list[int], int]  # tokens, tags, file class
+
+
+def windows_of(text: str, radius: int = 16) -> list[Window]:
+    """Around every labelled value of a text, and of one stretch, chosen by a hash, of a text without any."""
     tokens = list(TOKEN.finditer(text))
-    values, tags, k = sorted(value_spans(text)), [O] * len(tokens), 0
-    for s, e in values:
-        first = True
+    tags, k = [O] * len(tokens), 0
+    for s, e in sorted(value_spans(text)):
         while k < len(tokens) and tokens[k].end() <= s:
             k += 1
         j = k
         while j < len(tokens) and tokens[j].start() < e:
-            tags[j], first = (B if first else I), False
+            tags[j] = B if j == k else I
             j += 1
     kind = file_class(text, len(tokens))
-    centres = [i for i, t in enumerate(tags) if t == B] or [len(tokens) // 2]
-    return [([m[0] for m in tokens[max(0, i - radius) : i + radius]], tags[max(0, i - radius) : i + radius], kind) for i in centres[:3] if tokens]
+    centres = [i for i, t in enumerate(tags) if t == B]
+    if tokens and not centres:
+        centres = [zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(tokens)]
+    spans = ((max(0, i - radius), i + radius) for i in centres)
+    return [([m[0][:TOKEN_CHARS] for m in tokens[a:b]], tags[a:b], kind) for a, b in spans]
+
+
+def hidden(window: Window, rng: random.Random, copies: int) -> list[Window]:
+    """Copies of a labelled window whose value stands behind another name, or none, and another sign, in another
+    alphabet; each fifth has a word of the window there instead, which is no value."""
+    tokens, tags, kind = window
+    if B not in tags:
+        return []
+    at = tags.index(B)
+    end = next((k for k in range(at + 1, len(tags)) if tags[k] != I), len(tags))
+    front = at
+    while front and at - front < 4 and (not tokens[front - 1].isalnum() or KEYWORD.search(tokens[front - 1])):
+        front -= 1
+    words = [t for t, tag in zip(tokens, tags, strict=True) if tag == O and t.isalpha()] or ["word"]
+    out = []
+    for k in range(copies):
+        plain = k % 5 == 4
+        name = [rng.choice(OTHER_NAMES)] if rng.random() < 0.8 else [rng.choice(words)]
+        sign = rng.choice(OTHER_SIGNS)
+        name[0] = rng.choice([name[0], name[0].upper(), name[0].capitalize()])
+        if rng.random() < 0.3:
+            name = name[0].split("_")
+        letters = rng.choice(ALPHABETS)
+        value = "".join(rng.choice(letters) for _ in range(rng.randrange(16, 49)))
+        value = rng.choice(words) if plain else rng.choice(ISSUED_BY) + value if rng.random() < 0.2 else value
+        left, right = tokens[:front] + name + sign, tokens[end:]
+        out.append(([*left, value, *right], [*tags[:front], *[O] * (len(left) - front), O if plain else B, *tags[end:]], kind))
+    return out
 
 
-def train(texts: list[str], rounds: int = 80, ridge: float = 0.02) -> Field:
-    """Weights of largest penalised likelihood on the windows of the texts (Lafferty et al. 2001), by Adam."""
-    rows = [w for t in texts for w in _windows(t)]
-    names = sorted({f for tokens, _, _ in rows for x in set(tokens) for f in shape(x)})
+def context_words(rows: list[Window], most: int = 64) -> frozenset[str]:
+    """Words that stand before values much more often than elsewhere."""
+    near, all_ = Counter(), Counter()
+    for tokens, tags, _ in rows:
+        low = [t.lower() for t in tokens]
+        all_.update(low)
+        for k in (k for k, t in enumerate(tags) if t == B):
+            near.update(low[max(0, k - 3) : k])
+    good = [w for w, n in near.items() if n >= 5 and w.isalpha() and len(w) < 24 and 2 * n > all_[w]]
+    return frozenset(sorted(good, key=lambda w: (-near[w], w))[:most])
+
+
+def train(rows: list[Window], rounds: int = 80, ridge: float = 0.02) -> Field:
+    """Weights of largest penalised likelihood on the windows and their copies with hidden triggers (Lafferty et al.
+    2001), by Adam."""
+    rng = random.Random(1)
+    copies = max(COPIES, ENOUGH // max(1, sum(B in r[1] for r in rows)))
+    rows = rows + [w for r in rows for w in hidden(r, rng, copies)]
+    context = context_words(rows)
+    names = sorted({f for tokens, _, _ in rows for x in set(tokens) for f in shape(x, context)})
     features = {f: k for k, f in enumerate(names)}
     shapes: dict[tuple, int] = {}
     longest = max((len(r[0]) for r in rows), default=1)
     flat = np.zeros((len(rows), longest), np.int64)
     gold, mask, kind = np.zeros((len(rows), longest), np.int64), np.zeros((len(rows), longest), bool), np.zeros(len(rows), np.int64)
     for r, (tokens, tags, of) in enumerate(rows):
-        flat[r, : len(tokens)] = [shapes.setdefault(shape(x), len(shapes) + 1) for x in tokens]
+        flat[r, : len(tokens)] = [shapes.setdefault(shape(x, context), len(shapes) + 1) for x in tokens]
         gold[r, : len(tags)], mask[r, : len(tags)], kind[r] = tags, True, of
     design = np.zeros((len(shapes) + 1, len(names)))
     for found, k in shapes.items():
@@ -304,26 +375,43 @@ def train(texts: list[str], rounds: int = 80, ridge: float = 0.02) -> Field:
             second[k] = 0.99 * second[k] + 0.01 * g * g
             w += 0.15 * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     near, file, pairs = weights
-    return Field(features, near, file, pairs)
+    return Field(features, near, file, pairs, context)
+
+
+WINDOWS = T.StructType([field("h", T.LongType()), field("tokens", T.ArrayType(T.StringType())), field("tags", T.ArrayType(T.IntegerType())), field("kind", T.IntegerType()), field("labelled", T.BooleanType())])
+
+
+def training_windows(df: DataFrame, text_col: str, texts: int, windows: int) -> list[Window]:
+    """At most `windows` windows with a labelled value, and as many without, of about `texts` whole texts, all chosen by hashes."""
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    chosen = rows.withColumn("h", h).where(F.col("h") < int((1 << 40) * min(1.0, texts / max(1, rows.count()))))
+
+    def each(hashes: list, found: list) -> list[list]:
+        made = [(h, *w, B in w[1]) for h, t in zip(hashes, found, strict=True) for w in windows_of(t)]
+        return [list(c) for c in zip(*made, strict=True)] or [[] for _ in WINDOWS.names]
+
+    listed = map_rows(chosen, ["h", "text"], WINDOWS, each)
+    place = F.row_number().over(Window_.partitionBy("labelled").orderBy("h", "tokens"))
+    kept = listed.withColumn("place", place).where(F.col("place") <= windows).orderBy("labelled", "place").collect()
+    return [(r["tokens"], r["tags"], r["kind"]) for r in kept]
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 300, train_chars: int = 20_000) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_texts: int = 20_000, train_windows: int = 300) -> DataFrame:
     """One row per input row: id and spans (array of kind, start, end; code points, end exclusive; kinds in KINDS).
 
-    The field is trained on about train_rows texts with and as many without an assignment, cut at train_chars characters; every text is scanned whole. Null and empty texts have no spans; repeated rows give
-    repeated results; an empty table none (and an untrained field adds no spans).
+    The field is trained on at most train_windows windows with a labelled value and as many without, of about train_texts
+    whole texts; every text is scanned whole. Null and empty texts have no spans; repeated rows give repeated results; an
+    empty table none (and an untrained field adds no spans). A tagged span that meets a pattern's span is left to that.
     """
-    likely = F.col(text_col).rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}")
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), likely.alias("likely"), F.substring(text_col, 1, train_chars).alias("text"))
-    sample = [r["text"] for r in sorted(hash_sample(rows, ["id", "text"], train_rows, "id", by="likely"), key=lambda r: (r["likely"], r["id"] or "", r["text"]))]
-    trained = train(sample)
-    features, near, file, pairs = trained.features, trained.near, trained.file, trained.pairs
+    trained = train(training_windows(df, text_col, train_texts, train_windows))
+    features, near, file, pairs, context = trained.features, trained.near, trained.file, trained.pairs, trained.context
     schema = T.StructType([field(id_col, id_type(df, id_col)), field("spans", T.ArrayType(T.StructType([field("kind", T.StringType()), field("start", T.LongType()), field("end", T.LongType())])))])
     state: dict[str, Field] = {}
 
     def each(ids: list, texts: list) -> list[list]:
         if "model" not in state:
-            state["model"] = Field(features, near, file, pairs)
+            state["model"] = Field(features, near, file, pairs, context)
         return [ids, [[{"kind": k, "start": s, "end": e} for k, s, e in spans] for _, spans in scan(texts, state["model"])]]
 
     return map_rows(df, [id_col, text_col], schema, each)
