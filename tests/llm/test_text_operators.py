@@ -335,3 +335,22 @@ def test_sorted_transitions_equal_full_tables():
     full, sparse = language.Languages(samples), language.Languages(samples, dense=0)
     texts = [word("abcdexyz\u03b1\u03b2\u4e00\u4e05 .7") for _ in range(20)] + ["", "z", "\u03b1"]
     assert (full.phrases([full.encode(t) for t in texts], 64) == sparse.phrases([sparse.encode(t) for t in texts], 64)).all()
+
+
+def test_clauses_are_scored_and_not_words():
+    g = toxicity.fit([])
+    score = lambda t: toxicity.judge(t, g)[0]
+    assert score("I will kill you") > 0.5 > score("kill time") and score("you idiot") > 0.5 > score("idiot") and score("idiot, you!") > 0.5 > score("trash can")
+    assert score("He said: I will kill you") < 0.5 and score("I will not hurt you") < 0.5
+    assert score("idiot idiot idiot, said nobody") == score("idiot, said nobody") and len(toxicity.matches("you idiot. you moron!", g)[1]) == 2
+    aimed = lambda t: [m[2] & 4 for m in toxicity.matches(t, g)[1]]
+    assert aimed("kill them") == [4] and aimed("they kill time") == [0] and aimed("kill. you") == [0] and aimed("they are scum") == [4]
+
+
+def test_threats_are_learned_by_their_targets():
+    rng = random.Random(2)
+    fill = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(12))
+    rows = [(f"{fill()} zorbing you {fill()}. you blorfer", 1) for _ in range(40)] + [(fill(), 0) for _ in range(80)]
+    g = toxicity.fit(rows)
+    kinds = {w: e[0] for w, e in (g.words | g.starts).items() if w.startswith(("zorb", "blorf"))}
+    assert {k for w, k in kinds.items() if w.startswith("zorb")} == {toxicity.THREAT} and {k for w, k in kinds.items() if w.startswith("blorf")} <= {toxicity.INSULT}
