@@ -69,8 +69,19 @@ def crc_mod(column: str, m: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % m
 
 
+def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and, but for single rows, most_bytes bytes."""
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, rows)
+        while part.num_rows > 1 and part.nbytes > most_bytes:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: T.StructType, each: Callable[..., list[list]], rows: int = 256) -> DataFrame:
-    """mapInArrow in slices of few rows, so that very long texts never stand in Python all at once.
+    """mapInArrow in slices of few rows and bytes, so that very long texts never stand in Python all at once.
 
     each(*lists of the columns' values) returns a list of values for each output column.
     """
@@ -81,8 +92,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: T.StructType, each: Call
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 made = each(*(part.column(i).to_pylist() for i in range(part.num_columns)))
                 if len(made[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(v, type=out.field(n).type) for n, v in zip(names, made, strict=True)], schema=out)

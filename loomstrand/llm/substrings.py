@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstrand.llm.common import batch_words, field, flags_to_spans, hash_sample, table, window_hashes
+from loomstrand.llm.common import batch_words, field, flags_to_spans, hash_sample, slices, table, window_hashes
 
 #: Words of documents that a task settles among themselves at a time.
 CHUNK_WORDS = 1 << 20
@@ -73,8 +73,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[l
     rows: list[list] = [[] for _ in range(columns)]
     parts, bounds, total = [], [0], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            values = [c.to_pylist() for c in batch.slice(at, 256).columns]
+        for part in slices(batch, 256):
+            values = [c.to_pylist() for c in part.columns]
             words, b = batch_words(values[1])
             for column, v in zip(rows, values, strict=True):
                 column += v if column is not rows[1] else [None] * len(v)
@@ -258,9 +258,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
+            for part in slices(batch, 256):
                 out: list[list] = [[] for _ in schema.names]
-                for key, text, h, copy, lists in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                for key, text, h, copy, lists in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     split = (text or "").encode("utf-8", "surrogatepass").split()
                     places = np.frombuffer(b"".join(lists or []), "<i8")
                     places = places[places >> 32 == h] & 0xFFFFFFFF  # rows of one id may differ in text

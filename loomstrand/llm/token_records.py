@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstrand.llm.common import field, fresh_path, id_type, table
+from loomstrand.llm.common import field, fresh_path, id_type, slices, table
 from loomstrand.llm.tokens import encoder, tokenizer_path
 
 
@@ -100,8 +100,7 @@ def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
         offsets, tokens, at, out = [], 0, 0, None
         encode = encoder(tokenizer).encode
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                piece = batch.slice(first, 256)
+            for piece in slices(batch, 256):
                 keys, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
                 out = out or files.open_output_stream(own)
                 for key, ids in zip(keys, encode(texts), strict=True):

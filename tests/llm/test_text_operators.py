@@ -354,3 +354,13 @@ def test_threats_are_learned_by_their_targets():
     g = toxicity.fit(rows)
     kinds = {w: e[0] for w, e in (g.words | g.starts).items() if w.startswith(("zorb", "blorf"))}
     assert {k for w, k in kinds.items() if w.startswith("zorb")} == {toxicity.THREAT} and {k for w, k in kinds.items() if w.startswith("blorf")} <= {toxicity.INSULT}
+
+
+def test_slices_hold_few_rows_and_bytes():
+    import pyarrow as pa
+
+    from loomstrand.llm.common import slices
+
+    texts = ["a" * n for n in (5, 100_000, 3, 60_000, 60_000, 1, 2, 3, 4, 5)]
+    parts = [p.column(0).to_pylist() for p in slices(pa.RecordBatch.from_pydict({"t": texts}), 4, 100_100)]
+    assert [t for p in parts for t in p] == texts and all(len(p) <= 4 and (len(p) == 1 or sum(map(len, p)) <= 100_100) for p in parts)
