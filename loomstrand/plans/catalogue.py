@@ -91,9 +91,15 @@ def kmer_freq_filter(spark, d):
     return S.drop_frequent(_sketch(spark, d), 0.001).select("read_id", "pos", S.kmer_text(F.col("kmer"), K).alias("kmer"))
 
 
-@query(f"with {FILTERED} select a.read_id lhs_id, a.pos lhs_pos, b.read_id rhs_id, b.pos rhs_pos from fm a join fm b on a.kmer = b.kmer and a.read_id < b.read_id")
+@query(f"""with {FILTERED} select a.read_id lhs_id, b.read_id rhs_id, count(*) seeds, cast(sum(a.pos) as bigint) lhs_sum, cast(sum(b.pos) as bigint) rhs_sum, cast(sum(a.pos * b.pos) as bigint) product_sum,
+min(a.pos) lhs_first, max(a.pos) lhs_last, min(b.pos) rhs_first, max(b.pos) rhs_last from fm a join fm b on a.kmer = b.kmer and a.read_id < b.read_id group by 1, 2""")
 def seed_join(spark, d):
-    return _seeds(spark, d).drop("strand")
+    """Every seed of every pair of reads, told by counts, sums and bounds of their places: the rows themselves are too many to compare."""
+    a, b = F.col("lhs_pos").cast("long"), F.col("rhs_pos").cast("long")
+    return _seeds(spark, d).groupBy("lhs_id", "rhs_id").agg(
+        F.count("*").alias("seeds"), F.sum(a).alias("lhs_sum"), F.sum(b).alias("rhs_sum"), F.sum(a * b).alias("product_sum"),
+        F.min(a).alias("lhs_first"), F.max(a).alias("lhs_last"), F.min(b).alias("rhs_first"), F.max(b).alias("rhs_last"),
+    )
 
 
 @query(f"with {FILTERED} select a.read_id lhs_id, b.read_id rhs_id, count(*) seeds from fm a join fm b on a.kmer = b.kmer and a.read_id < b.read_id group by 1, 2")
@@ -193,7 +199,7 @@ def contained_reads(spark, d):
 
 
 @query(f"""with {TYPED}, i as (select distinct case kind when 1 then lhs_id else rhs_id end read_id from t where kind in (1, 2))
-select {COLS} from ovl where lhs_id not in (select read_id from i) and rhs_id not in (select read_id from i)""")
+select {COLS} from (select ovl.* from ovl anti join i on ovl.lhs_id = i.read_id) o anti join i on o.rhs_id = i.read_id""")
 def drop_contained(spark, d):
     return O.without_reads(X.overlaps(spark, d), O.contained_reads(_clipped(spark, d))).select(*O.COLUMNS)
 
@@ -315,7 +321,7 @@ def bridged_regions(spark, d):
 
 
 @query(f"""with {FACING}, bd as (select fc.* from fc join br using (read_id, first, last) where bridged and case when first < pb + os then e < last + 26 when last > pe - os then b + 26 > first else false end)
-select {COLS} from ov where overlap_id not in (select overlap_id from bd)""")
+select {COLS} from ov anti join (select distinct overlap_id from bd) b on ov.overlap_id = b.overlap_id""")
 def repeat_overlap_drop(spark, d):
     overlaps = _numbered(spark, d)
     bad = P.repeat_induced(overlaps, P.bridged_regions(overlaps, _regions(spark, d)))
