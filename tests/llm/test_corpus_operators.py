@@ -161,18 +161,59 @@ def brute_hits(rows, items, n=10):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [32_000_000, 50])
+def brute_matches(text, items, n=10):
+    """All longest matches of the text's words with items, by comparing every start with every start."""
+    w, best = decontaminate.words_of(text), {}
+    for item, t in items:
+        v = decontaminate.words_of(t)
+        for p in range(len(w)):
+            for o in range(len(v)):
+                k = 0
+                while p + k < len(w) and o + k < len(v) and w[p + k] == v[o + k]:
+                    k += 1
+                if k and k >= min(n, len(v)):
+                    best[p] = min(best.get(p, (0, "", 0)), (-k, str(item), o))
+    out, reach = [], -1
+    for p in sorted(best):
+        k, item, o = best[p]
+        if p - k > reach:
+            reach = p - k
+            out.append((p, reach, item, o))
+    return out
+
+
+MATCH_ITEMS = [(1, " ".join(PASSAGE.upper().split()[5:20])), (2, "Two-Words"), (3, None), (4, ""), (5, "W1 W2"), (1, " ".join(PASSAGE.upper().split()[5:20])), (6, "x " + " ".join(PASSAGE.split()[8:31])), (7, " ".join(PASSAGE.split()[8:20]) + " y"), (8, "no id " * 8)]
+
+
+@pytest.mark.parametrize("block", [32_000_000, 300])
 def test_hits_match_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 100)
-    items = [(1, " ".join(PASSAGE.upper().split()[5:20])), (2, "Two-Words"), (3, None), (4, ""), (5, "W1 W2"), (1, " ".join(PASSAGE.upper().split()[5:20]))]
     rows = [*ODD, *corpus(5, 30)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.find_matches(docs(spark, rows).repartition(3), bench, block_chars=block).select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), "items")
-    assert Counter((r[0], r[1], r[2], tuple(r[3])) for r in found.collect()) == brute_hits(rows, items)
+    bench = spark.createDataFrame(MATCH_ITEMS, "item_id long, text string")
+    found = decontaminate.find_matches(docs(spark, rows).repartition(3), bench, block_chars=block).select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), "items", "text", "matches").collect()
+    assert Counter((r[0], r[1], r[2], tuple(r[3])) for r in found) == brute_hits(rows, MATCH_ITEMS)
+    for r in found:
+        if r["doc_id"] != 7:
+            assert [tuple(m) for m in r["matches"]] == brute_matches(r["text"], MATCH_ITEMS)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs(spark, rows), empty).count() == len(rows)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_longest_matches_match_brute_force(seed):
+    rng = random.Random(seed)
+    letters = "ab" if seed % 3 else "a"
+    some = lambda most: " ".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    items, n = [(str(i), some(40)) for i in range(rng.randrange(1, 8))], rng.choice([2, 4, 7])
+    texts = [f"{some(50)} {rng.choice(items)[1]} c {some(50)}" for _ in range(6)]
+    tests = decontaminate.Tests(items, n)
+    for text in texts:
+        numbers = np.array([tests.vocabulary.get(w, 0) for w in decontaminate.words_of(text)] + [0], np.uint32)
+        positions, keys = tests.search(numbers)
+        got = [(s, e, tests.names[tests.item_of[w]], tests.start_of[w]) for s, e, w in zip(*tests.longest(positions, keys), strict=True)] if len(positions) else []
+        assert got == brute_matches(text, items, n)
+
+
 def test_words_encode_as_whole_texts_do():
     rng = random.Random(5)
     letters = ["a", "B", "é", "ß", "1", ",", ".", "!", "'", "s", "\n", " ", " ", "’", "文", "́", "\t", " ", "<|endoftext|>"]
