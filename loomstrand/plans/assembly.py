@@ -260,8 +260,9 @@ def create_unitigs(nodes: DataFrame, edges: DataFrame, min_bases: int = R.MIN_UN
     return R.split(_keep("unitigs", R.create_unitigs(_component_rows(nodes, edges), 0, min_bases)))
 
 
-def salvage_plasmids(nodes: DataFrame, config: OverlapConfig = OverlapConfig()) -> DataFrame:
-    """Circular contigs that overlap neither a unitig nor a longer such contig become unitigs."""
+def salvage_plasmids(nodes: DataFrame, config: OverlapConfig = OverlapConfig(), frequency: float = 0.001) -> DataFrame:
+    """Circular contigs that overlap neither a unitig nor a longer such contig become unitigs. The most frequent k-mers
+    of the contigs, and those of the unitigs, are no seeds."""
     even = nodes.where("id % 2 = 0")
     small, large = even.where("circular and not unitig"), even.where("unitig")
     if small.isEmpty():
@@ -269,9 +270,10 @@ def salvage_plasmids(nodes: DataFrame, config: OverlapConfig = OverlapConfig())
     rank = F.row_number().over(Window.orderBy(F.length("seq"), "id"))  # circular contigs are few
     named = small.select("id", "seq").withColumn("read_id", rank.cast("long"))
     top = 1 << 40
-    rows = named.select("read_id", "seq").unionByName(large.select((F.col("id") + top).alias("read_id"), "seq"))
-    sketch = S.minimizers(rows, config.k, config.w, canonical=True)
-    hit = S.chain(S.seed_join(sketch.where(F.col("read_id") < top), sketch), config.k).select(F.col("lhs_id").alias("read_id")).distinct()
+    sketch = G.shared_copy(S.minimizers(named.select("read_id", "seq"), config.k, config.w, canonical=True), "plasmid-sketch")
+    others = G.shared_copy(S.minimizers(large.select((F.col("id") + top).alias("read_id"), "seq"), config.k, config.w, canonical=True), "unitig-sketch")
+    index = S.drop_frequent(sketch, frequency).unionByName(S.drop_frequent(others, frequency))
+    hit = S.chain(S.seed_join(sketch, index), config.k).select(F.col("lhs_id").alias("read_id")).distinct()
     good = named.join(hit, "read_id", "left_anti").select(F.explode(F.array("id", F.col("id") + 1)).alias("id"), F.lit(True).alias("_p"))
     return _keep("nodes", nodes.join(good, "id", "left").withColumns({"unitig": F.col("unitig") | F.coalesce("_p", F.lit(False)), "name": F.when(F.col("_p"), F.overlay("name", F.lit("U"), F.lit(1), F.lit(1))).otherwise(F.col("name"))}).drop("_p"))
 

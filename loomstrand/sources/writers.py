@@ -49,12 +49,20 @@ def unitig_gfa_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return listed.select(F.lit(0).alias("section"), "id", F.concat(s, a).alias("value")).unionByName(link_lines(nodes, edges))
 
 
-def csv_lines(nodes: DataFrame, edges: DataFrame, similarity: bool = False) -> DataFrame:
-    """(section, id, value): node pairs, all edges, circular nodes."""
+def csv_lines(nodes: DataFrame, edges: DataFrame, similarity: bool = False, names: bool = False, piles: DataFrame | None = None) -> DataFrame:
+    """(section, id, value): node pairs, all edges, circular nodes. The last cell of a node pair has its name and a space
+    if `names`, and with `piles` begin and end of the read's valid region (contracted nodes have none); else a dash."""
     label = lambda i, n, c: F.concat(i.cast("string"), F.lit(" ["), (i / 2).cast("long").cast("string"), F.lit("] LN:i:"), n.cast("string"), F.lit(" RC:i:"), c.cast("string"))
     listed, n = listed_nodes(nodes, edges), F.length("seq").cast("long")
     own = label(F.col("id"), n, F.col("count"))
-    pairs = listed.select(F.lit(0).alias("section"), "id", F.concat_ws(",", own, label(pair_of(F.col("id")), n, F.col("count")), F.lit("0"), F.lit("-")).alias("value"))
+    named = F.concat("name", F.lit(" ")) if names else F.lit("")
+    region = F.lit("")
+    if piles is not None:
+        of_read = F.when((F.col("count") == 1) & ~F.col("unitig"), (F.col("id") / 2).cast("long"))
+        listed = listed.withColumn("_read", of_read).join(piles.select(F.col("read_id").alias("_read"), F.concat_ws(" ", "p_begin", "p_end").alias("_region")), "_read", "left")
+        region = F.coalesce("_region", F.lit(""))
+    last = F.concat(named, region)
+    pairs = listed.select(F.lit(0).alias("section"), "id", F.concat_ws(",", own, label(pair_of(F.col("id")), n, F.col("count")), F.lit("0"), F.when(last == "", "-").otherwise(last)).alias("value"))
     rows = _ends(edges, nodes)
     cells = [F.col("id").cast("string"), F.col("length").cast("string"), F.format_string("%.6f", "weight")]
     if similarity:

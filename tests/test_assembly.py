@@ -7,6 +7,8 @@ import pytest
 
 from loomstrand.operators import prune, slopes
 from loomstrand.operators.sketch import chain_seeds, minimizer_rows, shrinks
+from loomstrand.plans import assembly as A
+from loomstrand.sources import writers
 
 
 def simulate(length=30_000, depth=12, size=5_000, seed=7):
@@ -201,3 +203,28 @@ def test_components_of_all_orders_match_union_find(spark):
             values.setdefault(root(c), []).append(v)
     found = {(r["component"], r["size"], r["median"]) for r in QUERIES["component_median_of_all_orders"](spark, d).collect()}
     assert found == {(c, len(v), sorted(v)[len(v) // 2]) for c, v in values.items()}
+
+
+def reverse(seq):
+    return seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_plasmids_beside_unitigs_and_longer_copies(spark):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    whole, long, alone = letters(9000), letters(3000), letters(2500)
+    rows = [(0, "Utg0", whole, False, True), (2, "Ctg2", whole[2000:4500], True, False), (4, "Ctg4", long, True, False), (6, "Ctg6", long[200:2700], True, False), (8, "Ctg8", alone, True, False), (10, "Ctg10", letters(2500), False, False)]
+    both = [r for i, name, seq, circular, unitig in rows for r in ((i, name, seq, circular, unitig), (i + 1, name, reverse(seq), circular, unitig))]
+    nodes = spark.createDataFrame(both, "id long, name string, seq string, circular boolean, unitig boolean")
+    found = {r["id"]: r["name"] for r in A.salvage_plasmids(nodes).where("unitig").collect()}
+    assert found == {0: "Utg0", 1: "Utg0", 4: "Utg4", 5: "Utg4", 8: "Utg8", 9: "Utg8"}
+
+
+def test_csv_with_names_and_regions(spark):
+    columns = "id long, name string, seq string, count long, circular boolean, unitig boolean"
+    nodes = spark.createDataFrame([(0, "r0", "ACGTA", 1, False, False), (1, "r0", "TACGT", 1, False, False), (2, "Utg2", "ACGT", 3, False, True), (3, "Utg2", "ACGT", 3, False, True)], columns)
+    edges = spark.createDataFrame([(0, 0, 2, 2, 0.0), (1, 3, 1, 1, 0.0)], "id long, tail long, head long, length long, weight double")
+    piles = spark.createDataFrame([(0, 16, 96), (1, 32, 64)], "read_id long, p_begin long, p_end long")
+    last = lambda **k: [r["value"].split(",")[3] for r in writers.csv_lines(nodes, edges, **k).where("section = 0").orderBy("id").collect()]
+    assert last() == ["-", "-"] and last(names=True) == ["r0 ", "Utg2 "]
+    assert last(piles=piles) == ["16 96", "-"] and last(names=True, piles=piles) == ["r0 16 96", "Utg2 "]
