@@ -86,11 +86,13 @@ def dip_regions(slopes: DataFrame) -> DataFrame:
 
 
 def merge_regions(regions: DataFrame) -> DataFrame:
-    """(read_id, first, last): regions that overlap by more than an end, merged transitively."""
-    order = Window.partitionBy("read_id").orderBy("first", "last")
+    """(read_id, first, last): regions that overlap by more than an end, merged transitively. Equal regions that end where
+    they begin do not overlap, so each stays a row; missing places stand after all others."""
+    order = Window.partitionBy("read_id").orderBy(F.asc_nulls_last("first"), F.asc_nulls_last("last"))
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach > F.col("first"), 0).otherwise(1)
-    return regions.withColumn("new", new).withColumn("island", F.sum("new").over(order)).groupBy("read_id", "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
+    island = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return regions.withColumn("new", new).withColumn("island", island).groupBy("read_id", "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
 
 
 def kmer_clusters(marks: DataFrame) -> DataFrame:

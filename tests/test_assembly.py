@@ -228,3 +228,12 @@ def test_csv_with_names_and_regions(spark):
     last = lambda **k: [r["value"].split(",")[3] for r in writers.csv_lines(nodes, edges, **k).where("section = 0").orderBy("id").collect()]
     assert last() == ["-", "-"] and last(names=True) == ["r0 ", "Utg2 "]
     assert last(piles=piles) == ["16 96", "-"] and last(names=True, piles=piles) == ["r0 16 96", "Utg2 "]
+
+
+def test_equal_empty_regions_stay_apart_and_missing_places_come_last(spark):
+    from loomstrand.operators.piles import merge_regions
+
+    rows = [(1, 5, 5), (1, 5, 5), (1, 7, 9), (1, 8, 12), (1, 12, 11), (1, 12, 11), (2, None, None), (2, None, None), (2, 3, None), (2, 3, 6)]
+    found = merge_regions(spark.createDataFrame(rows, "read_id long, first long, last long")).collect()
+    want = [(1, 5, 5), (1, 5, 5), (1, 7, 12), (1, 12, 11), (1, 12, 11), (2, 3, 6), (2, None, None), (2, None, None)]
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want))
