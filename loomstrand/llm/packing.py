@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstrand.llm.common import cut, field, id_type, table
+from loomstrand.llm.common import cut, field, id_type, slices, table
 from loomstrand.llm.tokens import encoder, tokenizer_path
 
 
@@ -217,10 +217,9 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col
         arrow = to_arrow_schema(schema)
         task, end, seen, encode = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1), encoder(tokenizer).encode
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for part in slices(batch, 4096):
                 rows: list[list] = [[] for _ in schema.names]
-                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids += end
                     n = len(ids) // 4
                     at, piece = 0, 0

@@ -100,10 +100,9 @@ def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
         offsets, tokens, at, out = [], 0, 0, None
         encode = encoder(tokenizer).encode
         for batch in batches:
-            for piece in slices(batch, 256):
-                keys, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
+            for piece in slices(batch, 4096):
                 out = out or files.open_output_stream(own)
-                for key, ids in zip(keys, encode(texts), strict=True):
+                for key, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1)), strict=True):
                     record = frame(serialize(key, ids + end))
                     out.write(record)
                     offsets.append(at)

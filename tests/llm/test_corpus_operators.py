@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ODD, PASSAGE, docs
 
@@ -354,3 +355,16 @@ def test_removed_spans_are_the_union_of_removed_windows(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(13)) for c in "ab")
     rows = {r["doc_id"]: r for r in substrings.remove_repeats(docs(spark, [(1, one), (2, two), (3, f"{one} {two} end")])).collect()}
     assert [tuple(x) for x in rows[3]["removed_spans"]] == [(0, 26)] and rows[3]["n_removed"] == 26 and not rows[1]["removed_spans"]
+
+
+def test_columns_encode_without_texts_and_words_stay_bounded():
+    rng = random.Random(9)
+    texts = [None, "", *(" ".join("".join(rng.choice("abcdé.,\n") for _ in range(1, rng.randrange(2, 9))) for _ in range(40)) for _ in range(300))]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = tokens.Encoder(tokens.tokenizer_path(name), most=400)
+        column = pa.array(["skipped", *texts]).slice(1)
+        want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        for k in range(0, len(texts), 50):
+            assert e.encode(column.slice(k, 50)) == want[k : k + 50]
+            assert len(e.words) + len(e.parts) <= 400
+        assert e.encode(column.slice(0, 0)) == []
