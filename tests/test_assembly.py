@@ -237,3 +237,19 @@ def test_equal_empty_regions_stay_apart_and_missing_places_come_last(spark):
     found = merge_regions(spark.createDataFrame(rows, "read_id long, first long, last long")).collect()
     want = [(1, 5, 5), (1, 5, 5), (1, 7, 12), (1, 12, 11), (1, 12, 11), (2, 3, 6), (2, None, None), (2, None, None)]
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want))
+
+
+def test_names_are_compared_once_and_by_several_tasks(spark, tmp_path):
+    from loomstrand.plans import catalogue
+
+    customers = [(i, "Customer#1" if i % 2 else f"Supplies#{i % 4}", i % 3) for i in range(60)]
+    suppliers = [(i, f"Supplier#{i % 2}", i % 3) for i in range(12)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = catalogue._name_pairs(spark, str(tmp_path))
+    assert pairs.count() == len({(a[1], b[1], a[2]) for a in customers for b in suppliers if a[2] == b[2]}) and pairs.rdd.getNumPartitions() > 1
+    near = catalogue.QUERIES["bubble_similarity"](spark, str(tmp_path)).collect()
+    assert sorted((r[0], r[1]) for r in near) == sorted((a[0], b[0]) for a in customers for b in suppliers if a[2] == b[2])
+    kept = catalogue.QUERIES["identity_filter"](spark, str(tmp_path)).collect()
+    least = [(a[0], b[0]) for a in customers for b in suppliers if a[2] == b[2] and (a[1].startswith("Supplies") or b[1] == "Supplier#1")]
+    assert sorted(map(tuple, kept)) == sorted(least)  # Customer#1 is five of ten letters from Supplier#1, six from Supplier#0
