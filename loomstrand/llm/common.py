@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -123,6 +124,20 @@ def hash_sample(df: DataFrame, columns: list[str], rows: int, id_col: str = "doc
     return df.where(rule).select(*columns, by).limit(4 * rows * max(1, len(counts))).collect()
 
 
+#: What empties the caches that workers keep from task to task; modules add theirs.
+KEPT: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Gives back what earlier stages left in this worker: Spark uses its workers again, with all they remember."""
+    for clear in KEPT:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the splitmix64 finisher)."""
     x = x.astype(np.uint64, copy=True)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstrand.llm.common import batch_words, cut, drop, field, id_type, mix, slices, table, window_hashes
+from loomstrand.llm.common import batch_words, cut, drop, field, id_type, mix, release, slices, table, window_hashes
 
 BLOCK = 128  # members of a block, about
 PART_TOKENS = 1 << 20  # tokens of a part of the first count, about: what one task holds at a time
@@ -73,6 +73,7 @@ PAIRS = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         yield from slices(batch, SLICE)
 

@@ -217,7 +217,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col
         arrow = to_arrow_schema(schema)
         task, end, seen, encode = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1), encoder(tokenizer).encode
         for batch in batches:
-            for part in slices(batch, 4096):
+            for part in slices(batch, 2048):
                 rows: list[list] = [[] for _ in schema.names]
                 for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids += end

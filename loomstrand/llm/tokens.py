@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from functools import lru_cache
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from loomstrand.llm.common import KEPT, release
+
 
 def tokenizer_path(name: str) -> str:
     """The place of a vocabulary file that ships with the environment."""
@@ -155,6 +156,8 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    gc.collect()
-    pa.default_memory_pool().release_unused()  # what earlier stages of the same worker left
+    release()
     return Encoder(path)
+
+
+KEPT.append(encoder.cache_clear)

@@ -368,3 +368,11 @@ def test_columns_encode_without_texts_and_words_stay_bounded():
             assert e.encode(column.slice(k, 50)) == want[k : k + 50]
             assert len(e.words) + len(e.parts) <= 400
         assert e.encode(column.slice(0, 0)) == []
+
+
+def test_workers_give_the_encoder_back_to_the_next_stage():
+    from loomstrand.llm import common
+
+    tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json")).encode(["some words"])
+    list(ngram_join._slices(iter([])))
+    assert tokens.encoder.cache_info().currsize == 0 and tokens.encoder.cache_clear in common.KEPT
