@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomstrand.operators import prune, slopes
+from loomstrand.operators import prune, sketch, slopes
 from loomstrand.operators.sketch import chain_seeds, minimizer_rows, shrinks
 from loomstrand.plans import assembly as A
 from loomstrand.sources import writers
@@ -253,3 +254,30 @@ def test_names_are_compared_once_and_by_several_tasks(spark, tmp_path):
     kept = catalogue.QUERIES["identity_filter"](spark, str(tmp_path)).collect()
     least = [(a[0], b[0]) for a in customers for b in suppliers if a[2] == b[2] and (a[1].startswith("Supplies") or b[1] == "Supplier#1")]
     assert sorted(map(tuple, kept)) == sorted(least)  # Customer#1 is five of ten letters from Supplier#1, six from Supplier#0
+
+
+def test_blocks_of_reads_have_the_seeds_and_chains_of_a_join(spark, monkeypatch):
+    rng = random.Random(11)
+    genome = "".join(rng.choice("ACGT") for _ in range(2_000))
+    texts = [genome[at : at + 600] for at in range(0, 1_400, 60)] + [None, "", "ACGT", "N" * 40]
+    reads = spark.createDataFrame([(7 * k % 31 + 1, t) for k, t in enumerate(texts)], "read_id long, seq string").repartition(3)
+    monkeypatch.setattr(sketch, "BLOCK", 500)
+    monkeypatch.setattr(sketch, "CHUNK", 1_000)
+    blocks = sketch.sketch_blocks(reads, 15, 5, True)
+    assert len(blocks.files) > 3
+    kept = sketch.drop_frequent(sketch.minimizers(reads, 15, 5, True))
+    seeds = sketch.seed_join(kept, kept)
+    want = seeds.groupBy("lhs_id", "rhs_id").agg(F.count("*").alias("seeds"), F.sum("lhs_pos"), F.sum("rhs_pos"), F.sum(F.col("lhs_pos") * F.col("rhs_pos")), F.min("lhs_pos"), F.max("lhs_pos"), F.min("rhs_pos"), F.max("rhs_pos"))
+    assert sorted(map(tuple, sketch.pair_rows(blocks).collect())) == sorted(map(tuple, want.collect()))
+    chains, frequent = sketch.overlaps_and_frequent(reads, 15, 5, True)
+    assert sorted(map(tuple, chains.collect())) == sorted(map(tuple, sketch.chain(seeds).collect()))
+    every = {r[0] for r in sketch.minimizers(reads, 15, 5, True).select("kmer").collect()}
+    assert {r[0] for r in frequent.collect()} == every - {r[0] for r in kept.select("kmer").collect()}
+
+
+def test_blocks_end_at_the_read_that_fills_them(spark, monkeypatch):
+    """A block was closed only after 256 reads, however long they were."""
+    rng = random.Random(12)
+    reads = spark.createDataFrame([(k, "".join(rng.choice("ACGT") for _ in range(900))) for k in range(40)], "read_id long, seq string").coalesce(1)
+    monkeypatch.setattr(sketch, "BLOCK", 500)
+    assert len(sketch.sketch_blocks(reads).files) == 20
