@@ -5,9 +5,12 @@ run() writes what each stage returns as Parquet to the shared folder and reads i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstrand.llm.common import crc_mod, cut, table
+from loomstrand.llm.common import crc_mod, cut, give_back, table
 from loomstrand.llm.decontaminate import decontaminate
 from loomstrand.llm.ngram_join import one_of_each
 from loomstrand.llm.packing import pack_documents
@@ -15,6 +18,8 @@ from loomstrand.llm.pii import DEMO_KEY, masked
 from loomstrand.llm.tokens import tokenizer_path
 from loomstrand.llm.toxicity import learn_grammar, without_toxic
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores under 0.5; it learns from the labelled rows of the training folds."""
@@ -42,12 +47,23 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 2)
 
 
+def _alone(stage: Stage) -> Stage:
+    """The stage, begun by executors that hold nothing of the one before."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", toxicity),
-    ("ngram_jaccard_join", near_duplicates),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("pii_pseudonyms", pii),
-    ("best_fit_packing", packing),
+    ("toxicity", _alone(toxicity)),
+    ("ngram_jaccard_join", _alone(near_duplicates)),
+    ("benchmark_decontamination", _alone(benchmark_decontamination)),
+    ("pii_pseudonyms", _alone(pii)),
+    ("best_fit_packing", _alone(packing)),
 ]
 
 #: SQL expresses neither the grammar nor the tokenizer; tests hold the stages against brute-force versions.

@@ -91,6 +91,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: T.StructType, each: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release()
         out = to_arrow_schema(schema)
         for batch in batches:
             for part in slices(batch, rows):
@@ -138,6 +139,18 @@ def release() -> None:
         trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors return what earlier stages took: a task for each core collects the garbage of its JVM, whose heap then
+    shrinks, and empties its worker. A heap that has once been full otherwise stays so for all stages that follow."""
+    cores = spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from batches
+
+    spark.range(0, cores, 1, cores).select("id", F.expr("reflect('java.lang.System', 'gc')").alias("gc")).mapInArrow(run, "id long, gc string").count()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the splitmix64 finisher)."""
     x = x.astype(np.uint64, copy=True)
@@ -159,6 +172,9 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+KEPT.append(_powers.cache_clear)
+
+
 @lru_cache(maxsize=1)
 def _byte_codes() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstrand.llm.common import cut, field, id_type, slices, table
+from loomstrand.llm.common import cut, field, id_type, release, slices, table
 from loomstrand.llm.tokens import encoder, tokenizer_path
 
 
@@ -231,6 +231,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col
                         seen[size] += 1
                         at, piece = at + size, piece + 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, arrow, strict=True)], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -254,6 +255,7 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release()
         arrow = to_arrow_schema(schema)
         for batch in batches:
             *rest, rank = batch.columns

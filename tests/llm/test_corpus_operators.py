@@ -376,3 +376,19 @@ def test_workers_give_the_encoder_back_to_the_next_stage():
     tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json")).encode(["some words"])
     list(ngram_join._slices(iter([])))
     assert tokens.encoder.cache_info().currsize == 0 and tokens.encoder.cache_clear in common.KEPT
+
+
+def test_stages_begin_with_what_others_held_given_back(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    from loomstrand.llm import common
+
+    common._powers(1 << 16, common.BASE)
+    common.release()
+    assert common._powers.cache_info().currsize == 0
+    asked = []
+    monkeypatch.setattr(cp, "give_back", lambda s: (asked.append(s), common.give_back(s)))
+    docs = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string")
+    for name in ("ngram_jaccard_join", "best_fit_packing"):
+        assert dict(cp.STAGES)[name](spark, docs, "").count() == 1
+    assert asked == [spark, spark]
