@@ -1,5 +1,6 @@
 """End to end on a simulated circular genome, and parts against plain Python models."""
 
+import copy
 import random
 
 import numpy as np
@@ -281,3 +282,71 @@ def test_blocks_end_at_the_read_that_fills_them(spark, monkeypatch):
     reads = spark.createDataFrame([(k, "".join(rng.choice("ACGT") for _ in range(900))) for k in range(40)], "read_id long, seq string").coalesce(1)
     monkeypatch.setattr(sketch, "BLOCK", 500)
     assert len(sketch.sketch_blocks(reads).files) == 20
+
+
+def random_component(rng):
+    """(nodes, edges) with forks, dead ends, rings and like or unlike letters, under ids in no order."""
+    m, dead = rng.randint(3, 14), rng.randint(0, 2)
+    pairs = {(i, i + 1) for i in range(m - 1)} | {(a, min(m - 1, a + rng.randint(1, 3))) for a in rng.sample(range(m - 1), rng.randint(0, 2))}
+    pairs |= {(m - 1, 0)} if rng.random() < 0.2 else set()
+    pairs |= {(m + k, rng.randrange(m)) for k in range(dead)}
+    m += dead
+    at = rng.sample(range(m), m)
+    got = [e for k, (a, b) in enumerate(sorted(pairs)) for e in (prune.Edge(2 * k, 2 * at[a], 2 * at[b], 50), prune.Edge(2 * k + 1, 2 * at[b] + 1, 2 * at[a] + 1, 50))]
+    text = lambda: "".join(rng.choice("ACGT") if rng.random() < 0.15 else "ACGT"[j % 4] for j in range(100))
+    return [prune.Node(i, f"n{i >> 1}", text(), 1 + at[i >> 1] % 4, transitive={i & ~1, 2 * at[0]}) for i in range(2 * m)], got
+
+
+def test_passes_on_arrays_match_those_on_objects():
+    rng, tips, bubbles = random.Random(11), 0, 0
+    for _ in range(400):
+        ns, es = random_component(rng)
+        plain, seqs = prune.Graph(ns, es), {n.id: n.seq for n in ns}
+        lean = prune.Arrays(np.array([n.id for n in ns]), np.array([n.count for n in ns]), np.array([(e.id, e.tail, e.head, e.length) for e in es]), lambda ids, seqs=seqs: {i: seqs[i] for i in ids})
+        assert list(plain.chains()) == list(lean.chains())
+        found = plain.remove_tips(), plain.remove_bubbles()
+        assert found == (lean.remove_tips(), lean.remove_bubbles())
+        assert {e.id for e in es} - lean.edges.gone == set(plain.edges) and set(seqs) - lean.nodes.gone == set(plain.nodes)
+        tips, bubbles = tips + found[0], bubbles + found[1]
+    assert tips > 50 and bubbles > 50
+
+
+def as_rows(c, g):
+    found = [(c, True, n.id, n.name, n.seq, n.count, n.circular, n.unitig, n.coverage, n.names, sorted(n.transitive), None, None, None, None, 0) for n in g.nodes.values()]
+    return found + [(c, False, e.id, *[None] * 8, e.tail, e.head, e.length, e.weight, 0) for e in g.edges.values()]
+
+
+def component_table(spark, components):
+    parts = []
+    for k, (ns, es) in enumerate(components):
+        up = 1000 * k
+        moved = [prune.Node(n.id + up, n.name, n.seq, n.count, transitive={t + up for t in n.transitive}) for n in ns]
+        parts.append((up, prune.Graph(moved, [prune.Edge(e.id + up, e.tail + up, e.head + up, e.length) for e in es])))
+    return parts, spark.createDataFrame([r for c, g in parts for r in as_rows(c, g)], prune.ROWS).drop("changes")
+
+
+def as_set(rows):
+    return sorted(repr(tuple(r)[:-1]) for r in rows)  # but for the changes
+
+
+def test_no_letters_reach_the_task_of_a_component(spark):
+    assert not {"seq", "name", "names", "transitive"} & set(prune.LIGHT)
+    rng = random.Random(7)
+    components, table = component_table(spark, [random_component(rng) for _ in range(40)])
+    got = prune.tips_and_bubbles(table).collect()
+    changes = {c: g.remove_tips() + g.remove_bubbles() for c, g in components}
+    assert as_set(got) == as_set(r for c, g in components for r in as_rows(c, g))
+    assert all(r["changes"] == changes[r["component"]] for r in got) and sum(changes.values()) > 10
+
+
+def test_letters_of_a_unitig_meet_by_path(spark):
+    rng = random.Random(8)
+    components, table = component_table(spark, [random_component(rng) for _ in range(40)])
+    base = (max(max(*g.nodes, *g.edges) for _, g in components) // 4 + 1) * 4
+    assert "seq" not in prune.LIGHT
+    for epsilon in (0, 1):
+        got = prune.create_unitigs(table, epsilon, 300).collect()
+        want = copy.deepcopy(components)
+        made = {c: g.unitigs(epsilon, base, 300) for c, g in want}
+        assert as_set(got) == as_set(r for c, g in want for r in as_rows(c, g))
+        assert all(r["changes"] == made[r["component"]] for r in got) and sum(made.values()) > 10
