@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstrand.operators import prune, sketch, slopes
+from loomstrand.operators import graph, prune, sketch, slopes
 from loomstrand.operators.sketch import chain_seeds, minimizer_rows, shrinks
 from loomstrand.plans import assembly as A
 from loomstrand.sources import writers
@@ -284,6 +284,70 @@ def test_blocks_end_at_the_read_that_fills_them(spark, monkeypatch):
     assert len(sketch.sketch_blocks(reads).files) == 20
 
 
+def test_chains_of_many_pairs_are_those_of_each():
+    rng, found = np.random.default_rng(13), 0
+    for _ in range(60):
+        pairs = []
+        for _ in range(int(rng.integers(1, 30))):
+            lhs, strand = rng.integers(0, 1_500, int(rng.integers(1, 60))), bool(rng.integers(2))
+            rhs = (lhs if strand else 2_000 - lhs) + rng.integers(-300, 300) + rng.choice([0, 1, -40, 700], len(lhs), p=[0.7, 0.1, 0.1, 0.1])
+            pairs.append((lhs, rhs, strand))
+        want = [(i, *c) for i, (p, q, s) in enumerate(pairs) if (c := chain_seeds(p, q, s, 15))]
+        lhs, rhs, strand = zip(*pairs, strict=True)
+        which, columns = sketch.chain_groups(np.concatenate(lhs), np.concatenate(rhs), np.array(strand), np.array([len(x) for x in lhs]), 15)
+        assert list(zip(which.tolist(), *(c.tolist() for c in columns), strict=True)) == want
+        found += len(want)
+    assert found > 200
+
+
+def test_tiles_have_every_two_blocks_once(spark, monkeypatch):
+    rng = random.Random(14)
+    genome = "".join(rng.choice("ACGT") for _ in range(6_000))
+    reads = spark.createDataFrame([(k * 37 % 101, genome[at : at + 700]) for k, at in enumerate(range(0, 5_300, 53))], "read_id long, seq string").repartition(4)
+    kept = sketch.drop_frequent(sketch.minimizers(reads, 15, 5, True))
+    want = sorted(map(tuple, sketch.chain(sketch.seed_join(kept, kept)).collect()))
+    monkeypatch.setattr(sketch, "BLOCK", 700)
+    blocks = sketch.sketch_blocks(reads, 15, 5, True)
+    assert len(blocks.files) > 24  # sides of three blocks
+    assert sorted(map(tuple, sketch.chained(blocks).collect())) == want
+
+
+def test_reads_are_overlapped_anew_without_a_join_of_seeds(spark, monkeypatch):
+    """The second search sent every seed through a shuffle; marks came of three joins with the sketch."""
+    rows = [(i, n, s + s[200:900] * 3) for i, n, s in simulate(9_000, 10, 3_000)[1]]
+    reads = spark.createDataFrame(rows, "read_id long, name string, seq string")
+    piles = reads.select("read_id", F.lit(0).cast("long").alias("p_begin"), F.length("seq").cast("long").alias("p_end"), (F.col("read_id") % 5 == 0).alias("is_invalid"), F.lit(False).alias("is_contained"))
+    valid = reads.where("read_id % 5 <> 0")
+    minimizers = sketch.minimizers(valid, 15, 5, True).toPandas()
+    counts = minimizers.kmer.value_counts()
+    cut = counts.iloc[int(np.ceil(0.01 * len(counts))) - 1]
+    frequent = {c for c in counts[counts > cut].index if not shrinks("".join("ACGT"[c >> 2 * i & 3] for i in range(14, -1, -1)))}
+    assert frequent
+    want = {(r, p >> 4) for r, p, c in zip(minimizers.read_id, minimizers.pos, minimizers.kmer, strict=True) if c in frequent}
+    monkeypatch.setattr(sketch, "seed_join", None)
+    found = A.find_overlaps_and_repetitive_regions(reads, piles, A.OverlapConfig(frequency=0.01))
+    assert {tuple(r) for r in found[2].collect()} == want
+    assert found[0].count() > 0
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, most):
+    rng = random.Random(15)
+    pairs = [(a, a + 1) for a in rng.sample(range(0, 400), 330)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(250)] + [(1_000, 1_000), (1_001, None), (None, 1_002)]
+    monkeypatch.setattr(graph, "ONE_TASK", most)
+    copies = []
+    kept = graph.shared_copy
+    monkeypatch.setattr(graph, "shared_copy", lambda df, name: copies.append(name) or kept(df, name))
+    found = dict(map(tuple, graph.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    least = {x: x for p in pairs if None not in p for x in p}
+    while any(least[a] != least[b] for a, b in pairs if None not in (a, b)):
+        for a, b in pairs:
+            if None not in (a, b):
+                least[a] = least[b] = min(least[a], least[b])
+    assert found == least
+    assert (len(copies) == 2) == (most > 0)
+
+
 def random_component(rng):
     """(nodes, edges) with forks, dead ends, rings and like or unlike letters, under ids in no order."""
     m, dead = rng.randint(3, 14), rng.randint(0, 2)
