@@ -414,3 +414,28 @@ def test_letters_of_a_unitig_meet_by_path(spark):
         made = {c: g.unitigs(epsilon, base, 300) for c, g in want}
         assert as_set(got) == as_set(r for c, g in want for r in as_rows(c, g))
         assert all(r["changes"] == made[r["component"]] for r in got) and sum(made.values()) > 10
+
+
+@pytest.mark.parametrize("join", [1, 4])
+def test_joined_blocks_hold_no_kmer_that_occurs_once(spark, monkeypatch, join):
+    """Every block was read with all its k-mers, and each two of the small blocks were merged."""
+    rng = random.Random(15)
+    genome = "".join(rng.choice("ACGT") for _ in range(4_000))
+    texts = [genome[at : at + 500] + "".join(rng.choice("ACGT") for _ in range(300)) for at in range(0, 3_500, 40)]
+    reads = spark.createDataFrame([(k * 37 % 101, t) for k, t in enumerate(texts)], "read_id long, seq string").repartition(4)
+    monkeypatch.setattr(sketch, "BLOCK", 500)
+    monkeypatch.setattr(sketch, "JOIN", join)
+    blocks = sketch.sketch_blocks(reads, 15, 5, True, 0.02)
+    assert len(blocks.files) > 24 and len(blocks.joined) == -(-len(blocks.files) // min(join, len(blocks.files) // 8))
+    every = sketch.minimizers(reads, 15, 5, True).toPandas()
+    counts = every.kmer.value_counts()
+    held = [sketch.read_block(f) for f in blocks.joined]
+    assert {x for b in held for x in b.kmer.tolist()} == set(counts[counts > 1].index) - set(blocks.frequent.tolist())
+    places = every[every.kmer.isin(blocks.frequent)]
+    assert len(places) and sorted(map(tuple, sketch.places_of(blocks, blocks.frequent).collect())) == sorted(zip(places.read_id.tolist(), places.pos.tolist(), strict=True))
+    kept = sketch.drop_frequent(sketch.minimizers(reads, 15, 5, True), 0.02)
+    seeds = sketch.seed_join(kept, kept)
+    want = sorted(map(tuple, seeds.groupBy("lhs_id", "rhs_id").count().collect()))
+    assert sorted(map(tuple, sketch.pair_rows(blocks, places=False).collect())) == want
+    assert [r[:3] for r in sorted(map(tuple, sketch.pair_rows(blocks).collect()))] == want
+    assert sorted(map(tuple, sketch.chained(blocks).collect())) == sorted(map(tuple, sketch.chain(seeds).collect()))
