@@ -439,3 +439,13 @@ def test_joined_blocks_hold_no_kmer_that_occurs_once(spark, monkeypatch, join):
     assert sorted(map(tuple, sketch.pair_rows(blocks, places=False).collect())) == want
     assert [r[:3] for r in sorted(map(tuple, sketch.pair_rows(blocks).collect()))] == want
     assert sorted(map(tuple, sketch.chained(blocks).collect())) == sorted(map(tuple, sketch.chain(seeds).collect()))
+
+
+def test_long_kmers_are_ordered_and_matched_as_short_ones_are():
+    rng = np.random.default_rng(16)
+    for top in (1 << 10, 1 << 30, 1 << 62):
+        kmers = rng.integers(0, top, 400_000)
+        assert (sketch._order(kmers) == np.argsort(kmers, kind="stable")).all()
+        a, b = np.unique(kmers[:300_000]), np.unique(kmers[150_000:])
+        one, two = sketch._matches(a, b)
+        assert (a[one] == np.intersect1d(a, b)).all() and (b[two] == a[one]).all()
